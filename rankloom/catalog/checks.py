@@ -4,13 +4,10 @@ Each statement states the meaning of an operator again, on its own terms: all
 pairs scored, then ranked.
 """
 
-from rankloom.functions.text import SPACE
-
-# The same class of characters in the regular expressions of DuckDB.
-_SPACE = SPACE
-for _code in ("1680", "2000", "200A", "2028", "2029", "202F", "205F", "3000"):
-    _SPACE = _SPACE.replace(f"\\u{_code}", f"\\x{{{_code}}}")
-_SPACE = _SPACE.replace("\\x85\\xA0", "\\x{85}\\x{A0}")
+# White space as an explicit class: the same characters, spelled for this dialect.
+_SPACE = (
+    r"[\t\n\x0B\f\r\x1C-\x1F \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+)
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -113,7 +110,7 @@ def _unit(vector):
 def _token_vectors(name, source, key, text):
     """Vectors per distinct token, and the tokens of each text with their place."""
     return [
-        f"""{name}_at AS (SELECT {key}, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS at
+        f"""{name}_at AS (SELECT {key}, unnest(w) AS term, generate_subscripts(w, 1) - 1 AS place
             FROM (SELECT {key}, {_words(text)} AS w FROM {source}))""",
         f"""{name}_raw AS (SELECT term, {_BYTES.format(t='term')}::DOUBLE[] AS v
             FROM (SELECT DISTINCT term FROM {name}_at))""",
@@ -507,12 +504,12 @@ CHECKS = {
         {_vector_text('embedding')} AS vector FROM documents FULL JOIN embeddings ON doc_id = vec_id + 150""",
     "encode_tokens": _sql(
         *_token_vectors("d", "documents", "doc_id", "text"),
-        select=f"""SELECT doc_id AS chunk_id, at::INTEGER AS embedding_id, {_vector_text('v::FLOAT[]')} AS vector
+        select=f"""SELECT doc_id AS chunk_id, place::INTEGER AS embedding_id, {_vector_text('v::FLOAT[]')} AS vector
             FROM d_at JOIN d_unit USING (term)""",
     ),
     "encode_queries": _sql(
         *_token_vectors("q", "benchmark", "item_id", "text"),
-        select=f"""SELECT item_id AS query_id, at::INTEGER AS q_pos, {_vector_text('v::FLOAT[]')} AS vector
+        select=f"""SELECT item_id AS query_id, place::INTEGER AS q_pos, {_vector_text('v::FLOAT[]')} AS vector
             FROM q_at JOIN q_unit USING (term)""",
     ),
     "ingest_corpus": f"""SELECT doc_id AS id, source AS title, text AS body, len({_words('text')}) AS n_tokens

@@ -56,7 +56,7 @@ def query_tokens(spark, sf):
     vectors = table(spark, sf, "embeddings")
     slot = (F.col("vec_id") % SLOTS).cast("int").alias("q_pos")
     means = vectors.groupBy(F.col("label").cast("bigint").alias("query_id"), slot).agg(
-        mean_vector(F.col("embedding"), WIDTH).alias("embedding")
+        mean_vector("embedding", WIDTH).alias("embedding")
     )
     return means.withColumn("embedding", F.col("embedding").cast("array<float>"))
 
@@ -65,7 +65,7 @@ def query_vectors(spark, sf):
     """One query vector per label: the mean of its vectors."""
     vectors = table(spark, sf, "embeddings")
     means = vectors.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
-        mean_vector(F.col("embedding"), WIDTH).alias("embedding")
+        mean_vector("embedding", WIDTH).alias("embedding")
     )
     return means.withColumn("embedding", F.col("embedding").cast("array<float>"))
 

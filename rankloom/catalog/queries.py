@@ -6,7 +6,7 @@ from rankloom.catalog import fixtures as fx
 from rankloom.functions.text import fixed_point, result_line, tokenize
 from rankloom.functions.vectors import settle, similarity
 from rankloom.operators import clusters, lexical, ragged, upsert
-from rankloom.operators.encode import encode_dense, encode_tokens
+from rankloom.operators.encode import HashEncoder, encode_dense, encode_tokens
 from rankloom.operators.frontier import throughput
 from rankloom.operators.limits import effective_limits
 from rankloom.operators.lookup import chunk_by_id, result_records, tokens_of_chunk
@@ -487,7 +487,7 @@ def json_roundtrip(spark, sf):
     """Encoded, written with token vectors, read again: first vector of every part."""
     read = documents.read_documents(spark, _written_documents(spark, sf), "lines")
     path = scratch_dir(spark, "encoded")
-    documents.write_documents(documents.add_token_vectors(read, _encoder()), path)
+    documents.write_encoded(documents.good_documents(read), path, HashEncoder)
     again = documents.document_parts(documents.good_documents(documents.read_documents(spark, path, "lines")))
     first = F.get("token_embeddings", F.lit(0))
     return again.select(
@@ -499,16 +499,10 @@ def json_roundtrip(spark, sf):
     )
 
 
-def _encoder():
-    from rankloom.operators.encode import HashEncoder
-
-    return HashEncoder
-
-
 def ingest_summary(spark, sf):
     read = documents.read_documents(spark, _written_documents(spark, sf), "lines")
     path = scratch_dir(spark, "encoded")
-    documents.write_documents(documents.add_token_vectors(read, _encoder()), path)
+    documents.write_encoded(documents.good_documents(read), path, HashEncoder)
     again = documents.good_documents(documents.read_documents(spark, path, "lines"))
     return documents.ingest_summary(documents.document_parts(again))
 
@@ -532,7 +526,7 @@ def rejected_documents(spark, sf):
 
 def accepted_documents(spark, sf):
     read = documents.read_documents(spark, _written_documents(spark, sf, _damaged(spark, sf)), "lines")
-    return documents.good_documents(read).select("title", F.size("texts").alias("n_parts"))
+    return documents.good_documents(read).select("title", "n_parts")
 
 
 def manifest_skip(spark, sf):
@@ -544,7 +538,7 @@ def manifest_skip(spark, sf):
     documents.mark_done(files.filter(F.col("path").rlike("source=src1")), manifest)
     todo = documents.first_files(documents.not_done(files, spark.read.parquet(manifest)))
     read = documents.read_documents(spark, [row.path for row in todo.collect()], "lines")
-    return documents.good_documents(read).select("title", F.size("texts").alias("n_parts"))
+    return documents.good_documents(read).select("title", "n_parts")
 
 
 def stream_ingest(spark, sf):

@@ -2,13 +2,14 @@
 
 from pyspark.sql import functions as F
 
-# The characters that Python's ``str.split()`` takes as space.
-SPACE = r"[\t\n\x0B\f\r\x1C-\x1F \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+# Fixed value: the characters that Python's ``str.split()`` takes as space, which
+# are Unicode's white space and four control characters.
+SPACE = r"(?U)[\s\x1C-\x1F]+"
 
 
 def tokenize(text):
     """Whitespace tokens, case kept, none of them empty; null text gives none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda t: t != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
 
 
 def result_line(rank, title, body):

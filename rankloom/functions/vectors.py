@@ -24,18 +24,10 @@ def similarity(a, b, kind="dot"):
     raise ValueError(f"unknown similarity: {kind}")
 
 
-def mean_vector(vector, width):
-    """Aggregate: the element-wise mean of vectors of one width.
+def mean_vector(name, width):
+    """Aggregate: the element-wise mean of a vector column of one width.
 
     One ``avg`` per element keeps the aggregation in generated code with
     map-side partial sums; nothing is exploded.
     """
-    return F.array(*[F.avg(vector[i]) for i in range(width)])
-
-
-def checked_width(vector, width):
-    """The vector itself; fails on another width."""
-    message = F.format_string(f"vector width %d, expected {width}", F.size(vector))
-    return F.when(vector.isNull() | (F.size(vector) == width), vector).otherwise(
-        F.raise_error(message).cast("array<float>")
-    )
+    return F.expr("array(" + ", ".join(f"avg(`{name}`[{i}])" for i in range(width)) + ")")

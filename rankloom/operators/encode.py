@@ -29,8 +29,10 @@ class HashEncoder:
 
     width = HASH_WIDTH
 
-    def _token(self, token):
-        raw = np.frombuffer(hashlib.md5(token.encode()).digest(), dtype=np.uint8)[: self.width]
+    @staticmethod
+    @functools.lru_cache(maxsize=100_000)
+    def _token(token):
+        raw = np.frombuffer(hashlib.md5(token.encode()).digest(), dtype=np.uint8)[:HASH_WIDTH]
         vector = raw.astype(np.float64) - 127.5
         return vector / np.sqrt((vector**2).sum())
 
@@ -52,7 +54,8 @@ class HashEncoder:
 
 
 @functools.cache
-def _encoder(factory):
+def built(factory):
+    """The encoder of this Python worker."""
     return factory()
 
 
@@ -72,6 +75,12 @@ def _tokens_of(encoder, texts):
     return flat, counts
 
 
+def passages_apart(encoder, texts):
+    """One matrix per text, cut out of the flat result by the counts."""
+    flat, counts = _tokens_of(encoder, texts)
+    return np.split(flat, np.cumsum(counts)[:-1]) if len(counts) else []
+
+
 def encode_tokens(
     texts, encoder=HashEncoder, key="chunk_id", text="text", position="embedding_id", batch=DENSE_BATCH
 ):
@@ -85,7 +94,7 @@ def encode_tokens(
     )
 
     def encode(batches):
-        model = _encoder(encoder)
+        model = built(encoder)
         for rows in batches:
             for lo in range(0, rows.num_rows, batch):
                 some = rows.slice(lo, batch)
@@ -106,7 +115,7 @@ def encode_dense(texts, encoder=HashEncoder, key="id", text="text", name="dense_
     schema = T.StructType([texts.schema[key], T.StructField(name, VECTOR)])
 
     def encode(batches):
-        model = _encoder(encoder)
+        model = built(encoder)
         for rows in batches:
             for lo in range(0, rows.num_rows, batch):
                 some = rows.slice(lo, batch)
@@ -116,30 +125,3 @@ def encode_dense(texts, encoder=HashEncoder, key="id", text="text", name="dense_
                 yield pa.RecordBatch.from_arrays([some.column(0), _lists(vectors)], names=schema.names)
 
     return texts.select(key, text).mapInArrow(encode, schema)
-
-
-def encode_parts(documents, encoder=HashEncoder):
-    """Documents with ``token_embeddings`` filled for every part, in their row.
-
-    ``documents`` is the output of ``read_documents``; nothing is shuffled.
-    """
-    names = documents.columns
-    at = names.index("texts")
-    schema = T.StructType(
-        [*documents.schema.fields, T.StructField("token_embeddings", T.ArrayType(T.ArrayType(VECTOR)))]
-    )
-
-    def encode(batches):
-        model = _encoder(encoder)
-        for rows in batches:
-            for lo in range(rows.num_rows):
-                some = rows.slice(lo, 1)
-                texts = some.column(at).to_pylist()[0] or []
-                flat, counts = _tokens_of(model, [t or "" for t in texts])
-                per_part = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), _lists(flat)
-                )
-                per_doc = pa.ListArray.from_arrays(pa.array([0, len(counts)], pa.int32()), per_part)
-                yield pa.RecordBatch.from_arrays([*some.columns, per_doc], names=schema.names)
-
-    return documents.mapInArrow(encode, schema)

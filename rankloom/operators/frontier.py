@@ -10,7 +10,7 @@ def throughput(bench, n_queries):
     return bench.withColumn("throughput", rate).withColumn("accuracy", F.col("ndcg10"))
 
 
-def pareto(points, buckets=256):
+def pareto(points, buckets=64):
     """The points that no other point dominates.
 
     Dominated: some point is at least as good on both and better on one.  Equal
@@ -27,12 +27,8 @@ def pareto(points, buckets=256):
     shares = [i / buckets for i in range(1, buckets)]
     finite = known.filter(F.col("throughput") < float("inf"))
     edges = sorted(set(finite.approxQuantile("throughput", shares, 0.5 / buckets)))
-    above = [F.when(F.col("throughput") > edge, 1).otherwise(0) for edge in edges] or [F.lit(0)]
-    if len(above) > 1:
-        marks = F.array(*[F.lit(edge) for edge in edges])
-        bucket = F.size(F.filter(marks, lambda edge: edge < F.col("throughput")))
-    else:
-        bucket = above[0]
+    marks = ", ".join(f"{edge!r}D" for edge in edges)
+    bucket = F.expr(f"size(filter(array({marks}), edge -> edge < throughput))") if edges else F.lit(0)
     best = best.withColumn("_range", bucket)
 
     faster = Window.partitionBy("_range").orderBy(F.desc("throughput")).rowsBetween(Window.unboundedPreceding, -1)

@@ -17,10 +17,18 @@ MAX_QUERY_TERMS = 200_000
 TERM_BUCKETS = 256
 
 
+def term_rows(texts, *keys):
+    """One row per token.  The outer form of explode, with the empty row taken
+    out by the caller's join or here: the plain form makes Spark test the size
+    of the array first, and so cut every text into tokens twice."""
+    tokens = texts.select(*keys, tokenize(F.col("text")).alias("tokens"))
+    return tokens.select(*keys, F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
+
+
 def postings(corpus):
     """``doc_id, term, tf``: term frequencies.  Map tasks add up first."""
-    tokens = corpus.select("doc_id", F.explode(tokenize(F.col("text"))).alias("term"))
-    return tokens.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    rows = term_rows(corpus, "doc_id").filter(F.col("term").isNotNull())
+    return rows.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_lengths(corpus):
@@ -30,21 +38,23 @@ def document_lengths(corpus):
 def vocabulary(corpus):
     """``(terms, totals)`` from one pass and one shuffle.
 
-    Each document gives its distinct terms and one null; the null group counts
-    the documents and sums their lengths.  ``terms``: term, df.  ``totals``:
-    one row n_docs, mean_length.
+    Each document gives its distinct terms and one empty string, which no token
+    is; that group counts the documents and sums their lengths.  ``terms``:
+    term, df.  ``totals``: one row n_docs, mean_length.
     """
     tokens = corpus.select(tokenize(F.col("text")).alias("tokens"))
     marked = tokens.select(
         F.size("tokens").alias("length"),
-        F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"),
+        F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit("")))).alias("term"),
     )
     counted = marked.groupBy("term").agg(
         F.count(F.lit(1)).alias("df"),
-        F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length"),
+        F.sum(F.when(F.col("term") == "", F.col("length"))).alias("length"),
     )
-    terms = counted.filter(F.col("term").isNotNull()).select("term", "df")
-    totals = counted.filter(F.col("term").isNull()).select(
+    # Both filters are on an aggregate, so they stay above the shuffle and the
+    # two results share it.
+    terms = counted.filter(F.col("length").isNull()).select("term", "df")
+    totals = counted.filter(F.col("length").isNotNull()).select(
         F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("mean_length")
     )
     return terms, totals
@@ -60,8 +70,8 @@ def idf(terms, totals, epsilon=BM25_EPSILON):
 
 def query_terms(queries):
     """``query_id, term, qtf``."""
-    tokens = queries.select("query_id", F.explode(tokenize(F.col("text"))).alias("term"))
-    return tokens.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    rows = term_rows(queries, "query_id").filter(F.col("term").isNotNull())
+    return rows.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def term_weight(k1, b, mean_length):
@@ -83,11 +93,9 @@ def bm25_scores(queries, corpus, k1=BM25_K1, b=BM25_B, epsilon=BM25_EPSILON, dig
     weights = idf(terms, totals, epsilon).join(asked, "term")
     weights = weights.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
 
-    tokens = tokenize(F.col("text"))
     wanted = sizing.broadcast_if(query_terms(queries).select("term").distinct(), bound, MAX_QUERY_TERMS)
     found = (
-        corpus.select("doc_id", tokens.alias("tokens"))
-        .select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+        term_rows(corpus, "doc_id")
         .join(wanted, "term", "left_semi")
         .repartition("doc_id")
         .groupBy("doc_id", "length", "term")
@@ -111,8 +119,7 @@ def write_index(corpus, path, epsilon=BM25_EPSILON, buckets=TERM_BUCKETS, mode="
     totals.write.mode(mode).parquet(f"{path}/totals")
     totals = corpus.sparkSession.read.parquet(f"{path}/totals")
     idf(terms, totals, epsilon).write.mode(mode).parquet(f"{path}/terms")
-    tokens = corpus.select("doc_id", tokenize(F.col("text")).alias("tokens"))
-    rows = tokens.select("doc_id", F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+    rows = term_rows(corpus, "doc_id").filter(F.col("term").isNotNull())
     counted = rows.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     (
         counted.withColumn("term_bucket", _term_bucket(buckets))
@@ -124,6 +131,11 @@ def write_index(corpus, path, epsilon=BM25_EPSILON, buckets=TERM_BUCKETS, mode="
     )
 
 
+def stored_statistics(spark, path):
+    """``(terms, totals)`` of a stored index."""
+    return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals")
+
+
 def _term_bucket(buckets):
     return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
 
@@ -133,11 +145,12 @@ def bm25_scores_from_index(queries, path, k1=BM25_K1, b=BM25_B, buckets=TERM_BUC
     spark = queries.sparkSession
     asked = query_terms(queries)
     bound = sizing.rows_if_bounded(asked, MAX_QUERY_TERMS)
-    weights = spark.read.parquet(f"{path}/terms").join(sizing.broadcast_if(asked, bound, MAX_QUERY_TERMS), "term")
+    terms, totals = stored_statistics(spark, path)
+    weights = terms.join(sizing.broadcast_if(asked, bound, MAX_QUERY_TERMS), "term")
     weights = weights.select(
         "query_id", "term", _term_bucket(buckets).alias("term_bucket"), (F.col("qtf") * F.col("idf")).alias("weight")
     )
-    mean_length = spark.read.parquet(f"{path}/totals").select("mean_length").scalar()
+    mean_length = totals.select("mean_length").scalar()
     found = spark.read.parquet(f"{path}/postings")
     return (
         found.join(sizing.broadcast_if(weights, bound, MAX_QUERY_TERMS), ["term_bucket", "term"])
@@ -151,7 +164,7 @@ def bm25_top(scores, k):
     return top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def bm25_top_filled(queries, corpus, scores, k):
+def bm25_top_filled(queries, corpus, scores, k, terms, totals):
     """Top k over all documents: those without a match have score 0.
 
     A document that shares no term, or whose score comes to 0, is a zero
@@ -159,11 +172,11 @@ def bm25_top_filled(queries, corpus, scores, k):
     only if fewer than k score above 0, and then the first ``k + x`` documents
     of the corpus hold enough of them, ``x`` being its number of documents with
     another score.  When the mean idf is not negative no score is below 0 and
-    ``x < k``; otherwise ``x`` is measured.
+    ``x < k``; otherwise ``x`` is measured.  ``terms`` and ``totals`` are the
+    statistics of the corpus.
     """
-    terms, totals = vocabulary(corpus)
-    if totals.limit(1).count() == 0:
-        return bm25_top(scores, k)
+    n = totals.select("n_docs").scalar()
+    mean = terms.agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
     other = F.count(F.when(F.col("score") != 0, 1)).alias("other")
     above = F.count(F.when(F.col("score") > 0, 1)).alias("above")
     counted = queries.select("query_id").join(scores.groupBy("query_id").agg(other, above), "query_id", "left")
@@ -172,8 +185,6 @@ def bm25_top_filled(queries, corpus, scores, k):
         (F.lit(k) - F.coalesce("above", F.lit(0))).alias("missing"),
         F.coalesce("other", F.lit(0)).alias("other"),
     ).filter("missing > 0")
-    n = totals.select("n_docs").scalar()
-    mean = terms.agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("mean")).first()["mean"]
     depth = 2 * k
     if mean is not None and mean < 0:
         depth = k + (short.agg(F.max("other")).first()[0] or 0)

@@ -6,7 +6,6 @@ at most ``cap``; the last fetch made counts, passed or not.  Every fetch is a
 prefix of the same ranking, so the rule needs one ranking and one pass.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.schema import MAX_FETCH
@@ -31,27 +30,22 @@ def effective_limits(hits, grid, token_keys=("query_id", "q_pos"), chunk="chunk_
 
     ``hits`` is ranked per token by ``rank`` and at least ``deepest_fetch`` deep.
     """
-    token = Window.partitionBy(*token_keys)
-    first = F.row_number().over(Window.partitionBy(*token_keys, chunk).orderBy("rank")) == 1
-    marked = hits.withColumn("_new", first)
+    token = ", ".join(token_keys)
     tried = sorted({limit for n in grid for limit in limit_series(n, cap)})
-    distinct = {
-        limit: F.sum(F.when(F.col("_new") & (F.col("rank") <= limit), 1).otherwise(0)).over(token) for limit in tried
-    }
-    marked = marked.select("*", *[n.alias(f"_distinct_{limit}") for limit, n in distinct.items()])
+    if not tried:
+        return hits.withColumn("limits", F.expr("cast(array() as array<struct<n_ann:int,limit:int>>)"))
+    first = f"row_number() over (partition by {token}, {chunk} order by rank) = 1 as _new"
+    distinct = [
+        f"sum(if(_new and rank <= {limit}, 1, 0)) over (partition by {token}) as _distinct_{limit}" for limit in tried
+    ]
     limits = []
     for n in grid:
         series = limit_series(n, cap)
-        if not series:
-            continue
-        enough = max(2, n / 4)
-        passing = [F.when(F.col(f"_distinct_{limit}") >= enough, F.lit(limit)) for limit in series]
-        limit = F.coalesce(*passing, F.lit(series[-1]))
-        limits.append(F.struct(F.lit(n).alias("n_ann"), limit.alias("limit")))
-    if not limits:
-        empty = F.array().cast("array<struct<n_ann:int,limit:int>>")
-        return hits.withColumn("limits", empty)
-    return marked.withColumn("limits", F.array(*limits)).select(*hits.columns, "limits")
+        if series:
+            passing = "".join(f"when _distinct_{x} >= {max(2, n / 4)}D then {x} " for x in series)
+            limits.append(f"struct({n} as n_ann, case {passing}else {series[-1]} end as limit)")
+    marked = hits.selectExpr("*", first).selectExpr("*", *distinct)
+    return marked.selectExpr(*hits.columns, f"array({', '.join(limits)}) as limits")
 
 
 def adaptive_hits(hits, grid, token_keys=("query_id", "q_pos"), chunk="chunk_id", cap=MAX_FETCH):

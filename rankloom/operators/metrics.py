@@ -5,9 +5,9 @@ A run has ``system, config, query_id, doc_id, score``; judgments have
 Order inside a query: score descending, then document id descending as text.
 """
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rankloom.functions.vectors import settle
 from rankloom.operators.ranking import top_k
 from rankloom.schema import EVAL_CUTS, MRR_CUTS
 
@@ -26,14 +26,12 @@ def rank_run(run, depth, ignore_identical_ids=True):
 
 def ideal(qrels, cuts):
     """Per judged query: number of relevant documents and the ideal gain at each cut."""
-    best = top_k(
-        qrels.filter(F.col("rel") > 0), ["query_id"], [F.desc("rel"), F.asc(F.col("doc_id").cast("string"))], max(cuts)
-    )
-    gain = F.col("rel") / F.log2(F.col("rank") + F.lit(1.0))
+    order = [F.desc("rel"), F.asc(F.col("doc_id").cast("string"))]
+    best = top_k(qrels.filter("rel > 0"), ["query_id"], order, max(cuts))
     gains = best.groupBy("query_id").agg(
-        *[F.sum(F.when(F.col("rank") <= k, gain)).alias(f"ideal_{k}") for k in cuts]
+        *[F.expr(f"sum(if(rank <= {k}, rel / log2(rank + 1D), 0D)) as ideal_{k}") for k in cuts]
     )
-    relevant = qrels.groupBy("query_id").agg(F.count(F.when(F.col("rel") > 0, 1)).alias("n_rel"))
+    relevant = qrels.groupBy("query_id").agg(F.expr("count_if(rel > 0) as n_rel"))
     return relevant.join(gains, "query_id", "left")
 
 
@@ -42,36 +40,27 @@ def query_metrics(run, qrels, cuts=EVAL_CUTS, mrr_cuts=MRR_CUTS, ignore_identica
     cuts, mrr_cuts = list(cuts), list(mrr_cuts)
     ordered = rank_run(run, max(cuts + mrr_cuts), ignore_identical_ids)
     judged = ordered.join(qrels.select("query_id", "doc_id", "rel"), ["query_id", "doc_id"], "left")
-    judged = judged.withColumn("rel", F.coalesce("rel", F.lit(0)))
-    hit = (F.col("rel") > 0).cast("int")
-    so_far = Window.partitionBy(*RUN_KEYS, "query_id").orderBy("rank")
-    judged = judged.withColumn("_hits", F.sum(hit).over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
-
-    def upto(k, value):
-        return F.coalesce(F.sum(F.when((F.col("rank") <= k) & (F.col("rel") > 0), value)), F.lit(0.0))
-
-    gain = F.col("rel") / F.log2(F.col("rank") + F.lit(1.0))
-    sums = []
+    group = ", ".join([*RUN_KEYS, "query_id"])
+    judged = judged.selectExpr(*RUN_KEYS, "query_id", "rank", "coalesce(rel, 0) as rel").selectExpr(
+        "*",
+        f"""sum(if(rel > 0, 1, 0)) over (partition by {group} order by rank
+            rows between unbounded preceding and current row) as _hits""",
+    )
+    sums = ["min(if(rel > 0, rank, null)) as _first"]
     for k in cuts:
-        sums.append(upto(k, gain).alias(f"_gain_{k}"))
-        sums.append(upto(k, F.col("_hits") / F.col("rank")).alias(f"_precise_{k}"))
-        sums.append(upto(k, F.lit(1.0)).alias(f"_found_{k}"))
-    first = F.min(F.when(F.col("rel") > 0, F.col("rank"))).alias("_first")
-    per_query = judged.groupBy(*RUN_KEYS, "query_id").agg(*sums, first).join(ideal(qrels, cuts), "query_id")
-
-    def share(part, whole):
-        return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
-
+        within = f"rank <= {k} and rel > 0"
+        sums.append(f"sum(if({within}, rel / log2(rank + 1D), 0D)) as _gain_{k}")
+        sums.append(f"sum(if({within}, _hits / rank, 0D)) as _precise_{k}")
+        sums.append(f"sum(if({within}, 1D, 0D)) as _found_{k}")
+    per_query = judged.groupBy(*RUN_KEYS, "query_id").agg(*[F.expr(s) for s in sums])
     columns = []
     for k in cuts:
-        columns.append(share(F.col(f"_gain_{k}"), F.coalesce(f"ideal_{k}", F.lit(0.0))).alias(f"ndcg_{k}"))
-        columns.append(share(F.col(f"_precise_{k}"), F.col("n_rel")).alias(f"map_{k}"))
-        columns.append(share(F.col(f"_found_{k}"), F.col("n_rel")).alias(f"recall_{k}"))
-        columns.append((F.col(f"_found_{k}") / k).alias(f"precision_{k}"))
-    for k in mrr_cuts:
-        reciprocal = F.when(F.col("_first") <= k, 1 / F.col("_first")).otherwise(F.lit(0.0))
-        columns.append(reciprocal.alias(f"mrr_{k}"))
-    return per_query.select(*RUN_KEYS, "query_id", *columns)
+        columns.append(f"if(ideal_{k} > 0, _gain_{k} / ideal_{k}, 0D) as ndcg_{k}")
+        columns.append(f"if(n_rel > 0, _precise_{k} / n_rel, 0D) as map_{k}")
+        columns.append(f"if(n_rel > 0, _found_{k} / n_rel, 0D) as recall_{k}")
+        columns.append(f"_found_{k} / {k} as precision_{k}")
+    columns += [f"if(_first <= {k}, 1D / _first, 0D) as mrr_{k}" for k in mrr_cuts]
+    return per_query.join(ideal(qrels, cuts), "query_id").selectExpr(*RUN_KEYS, "query_id", *columns)
 
 
 def metric_table(per_query, qrels, cuts=EVAL_CUTS, mrr_cuts=MRR_CUTS, digits=6):
@@ -80,21 +69,14 @@ def metric_table(per_query, qrels, cuts=EVAL_CUTS, mrr_cuts=MRR_CUTS, digits=6):
     MRR is divided by the number of judged queries, the others by the number
     of queries that have both results and judgments.
     """
-    n_judged = qrels.select(F.count_distinct("query_id")).scalar()
-    names = [(m, k) for m in FAMILIES[:-1] for k in cuts] + [("mrr", k) for k in mrr_cuts]
-    means = []
-    for metric, k in names:
-        total = F.avg(f"{metric}_{k}") if metric != "mrr" else F.sum(f"mrr_{k}") / n_judged
-        means.append(total.alias(f"{metric}_{k}"))
-    wide = per_query.groupBy(*RUN_KEYS).agg(*means)
-    rows = F.array(
-        *[
-            F.struct(
-                F.lit(metric).alias("metric"),
-                F.lit(k).alias("k"),
-                F.round(F.col(f"{metric}_{k}"), digits).alias("value"),
-            )
-            for metric, k in names
-        ]
+    n_judged = qrels.select(F.count_distinct("query_id")).scalar().cast("double")
+    names = [(metric, k) for metric in FAMILIES[:-1] for k in cuts] + [("mrr", k) for k in mrr_cuts]
+    means = [F.expr(f"{'sum' if m == 'mrr' else 'avg'}({m}_{k}) as {m}_{k}") for m, k in names]
+    rows = ", ".join(f"'{metric}', {k}, {metric}_{k}" for metric, k in names)
+    long = (
+        per_query.groupBy(*RUN_KEYS)
+        .agg(*means)
+        .selectExpr(*RUN_KEYS, f"stack({len(names)}, {rows}) as (metric, k, _mean)")
     )
-    return wide.select(*RUN_KEYS, F.inline(rows))
+    value = F.when(F.col("metric") == "mrr", F.col("_mean") / n_judged).otherwise(F.col("_mean"))
+    return long.select(*RUN_KEYS, "metric", "k", settle(value, digits).alias("value"))

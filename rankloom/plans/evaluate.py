@@ -14,10 +14,10 @@ from rankloom.schema import EVAL_CUTS, MRR_CUTS, SWEEP_VALUES
 RUN_COLUMNS = ["system", "config", "query_id", "doc_id", "score", "rank"]
 
 
-def evaluate(run, qrels, cuts=EVAL_CUTS, mrr_cuts=MRR_CUTS, ignore_identical_ids=True):
+def evaluate(run, qrels, cuts=EVAL_CUTS, mrr_cuts=MRR_CUTS, ignore_identical_ids=True, digits=6):
     """``system, config, metric, k, value``."""
     per_query = query_metrics(run, qrels, cuts, mrr_cuts, ignore_identical_ids)
-    return metric_table(per_query, qrels, cuts, mrr_cuts)
+    return metric_table(per_query, qrels, cuts, mrr_cuts, digits)
 
 
 def stack_runs(*runs):
@@ -84,10 +84,19 @@ def sweep_run(
     )
 
 
-def sweep(query_tokens, tokens, qrels, ann_grid=SWEEP_VALUES, candidate_grid=SWEEP_VALUES, cuts=(1, 5, 10, 100), **options):
+def sweep(
+    query_tokens,
+    tokens,
+    qrels,
+    ann_grid=SWEEP_VALUES,
+    candidate_grid=SWEEP_VALUES,
+    cuts=(1, 5, 10, 100),
+    ignore_identical_ids=True,
+    **options,
+):
     """Metrics of every grid cell."""
     run = sweep_run(query_tokens, tokens, ann_grid, candidate_grid, **options)
-    return evaluate(run, qrels, cuts, ())
+    return evaluate(run, qrels, cuts, (), ignore_identical_ids)
 
 
 def timed_sweep(query_tokens, tokens, qrels, ann_grid=SWEEP_VALUES, candidate_grid=SWEEP_VALUES):

@@ -3,7 +3,14 @@
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import result_line
-from rankloom.operators.lexical import bm25_scores, bm25_scores_from_index, bm25_top, bm25_top_filled
+from rankloom.operators.lexical import (
+    bm25_scores,
+    bm25_scores_from_index,
+    bm25_top,
+    bm25_top_filled,
+    stored_statistics,
+    vocabulary,
+)
 from rankloom.operators.ranking import ranked
 from rankloom.operators.substring import match_counts, substring_join
 
@@ -18,7 +25,10 @@ def bm25_search(queries, corpus, k=100, fill_zero=True, index=None, **options):
         scores = bm25_scores(queries, corpus, **options)
     else:
         scores = bm25_scores_from_index(queries, index, **options)
-    return bm25_top_filled(queries, corpus, scores, k) if fill_zero else bm25_top(scores, k)
+    if not fill_zero:
+        return bm25_top(scores, k)
+    terms, totals = vocabulary(corpus) if index is None else stored_statistics(queries.sparkSession, index)
+    return bm25_top_filled(queries, corpus, scores, k, terms, totals)
 
 
 def bm25_run(found, system="bm25", config="default"):

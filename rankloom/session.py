@@ -3,6 +3,7 @@
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -33,3 +34,26 @@ def scratch_dir(spark, name):
         root = tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
+
+
+_shipped = set()
+
+
+def ship_package(spark):
+    """Make this package importable in the Python workers of the session, once.
+
+    Not needed where the package is installed on all machines.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(tempfile.mkdtemp(prefix="rankloom-"), "rankloom.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    out.write(full, os.path.relpath(full, os.path.dirname(here)))
+    context.addPyFile(archive)
+    _shipped.add(context.applicationId)
