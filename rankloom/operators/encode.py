@@ -29,28 +29,26 @@ class HashEncoder:
 
     width = HASH_WIDTH
 
-    @staticmethod
-    @functools.lru_cache(maxsize=100_000)
-    def _token(token):
-        raw = np.frombuffer(hashlib.md5(token.encode()).digest(), dtype=np.uint8)[:HASH_WIDTH]
-        vector = raw.astype(np.float64) - 127.5
-        return vector / np.sqrt((vector**2).sum())
+    def _tokens(self, texts):
+        """(distinct token vectors, number of the vector of each token, tokens per text)"""
+        split = [text.split() for text in texts]
+        number = {}
+        used = [number.setdefault(token, len(number)) for tokens in split for token in tokens]
+        digests = b"".join(hashlib.md5(token.encode()).digest() for token in number)
+        vectors = np.frombuffer(digests, dtype=np.uint8).reshape(len(number), HASH_WIDTH) - 127.5
+        vectors /= np.sqrt((vectors**2).sum(axis=1, keepdims=True))
+        return vectors, np.array(used, dtype=np.int64), [len(tokens) for tokens in split]
 
     def encode_passages(self, texts):
-        split = [text.split() for text in texts]
-        rows = [self._token(token) for tokens in split for token in tokens]
-        flat = np.array(rows, dtype=np.float32).reshape(len(rows), self.width)
-        return flat, [len(tokens) for tokens in split]
+        vectors, used, counts = self._tokens(texts)
+        return vectors.astype(np.float32)[used], counts
 
     def encode_texts(self, texts):
+        vectors, used, counts = self._tokens(texts)
         out = np.zeros((len(texts), self.width))
-        for i, text in enumerate(texts):
-            tokens = text.split()
-            if tokens:
-                mean = sum(self._token(token) for token in tokens)
-                size = np.sqrt((mean**2).sum())
-                out[i] = mean / size if size > 0 else mean
-        return out.astype(np.float32)
+        np.add.at(out, np.repeat(np.arange(len(texts)), counts), vectors[used])
+        size = np.sqrt((out**2).sum(axis=1, keepdims=True))
+        return np.divide(out, size, out=out, where=size > 0).astype(np.float32)
 
 
 @functools.cache

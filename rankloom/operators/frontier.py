@@ -16,31 +16,29 @@ def pareto(points, buckets=64):
     Dominated: some point is at least as good on both and better on one.  Equal
     points stay together; a point with no throughput or no accuracy stays.
 
-    A point is dominated exactly if a faster one is at least as accurate, or an
-    equally fast one is more accurate.  So: the best accuracy per throughput
-    (map tasks reduce first), then the best among all faster ones.  That running
-    maximum goes in two steps, inside throughput ranges and over the ranges, so
-    that it never gathers the points in one task.
+    Points are cut into throughput ranges.  First each range is held against
+    the best accuracy of all faster ranges, which needs one number per range
+    and lets few points pass.  Of these, the best per throughput (map tasks
+    reduce first, so a hot throughput is one row) is held against the faster
+    ones of its own range.  No step gathers the points in one task.
     """
-    known = points.filter(F.col("throughput").isNotNull() & F.col("accuracy").isNotNull())
-    best = known.groupBy("throughput").agg(F.max("accuracy").alias("_here"))
+    known = points.filter("throughput is not null and accuracy is not null")
+    unknown = points.filter("throughput is null or accuracy is null")
     shares = [i / buckets for i in range(1, buckets)]
     finite = known.filter(F.col("throughput") < float("inf"))
     edges = sorted(set(finite.approxQuantile("throughput", shares, 0.5 / buckets)))
-    marks = ", ".join(f"{edge!r}D" for edge in edges)
-    bucket = F.expr(f"size(filter(array({marks}), edge -> edge < throughput))") if edges else F.lit(0)
-    best = best.withColumn("_range", bucket)
+    above = [f"if(throughput > {edge!r}D, 1, 0)" for edge in edges]
+    known = known.withColumn("_range", F.expr(" + ".join(above) or "0"))
 
-    faster = Window.partitionBy("_range").orderBy(F.desc("throughput")).rowsBetween(Window.unboundedPreceding, -1)
-    inside = best.withColumn("_faster", F.max("_here").over(faster))
     # One row per range: at most `buckets` rows.
-    tops = best.groupBy("_range").agg(F.max("_here").alias("_top"))
+    tops = known.groupBy("_range").agg(F.max("accuracy").alias("_top"))
     over = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     tops = tops.select("_range", F.max("_top").over(over).alias("_beyond"))
-    bar = inside.join(F.broadcast(tops), "_range").select(
-        "throughput", "_here", F.greatest("_faster", "_beyond").alias("_bar")
-    )
-    winners = bar.filter(F.col("_bar").isNull() | (F.col("_here") > F.col("_bar")))
-    winners = winners.select("throughput", F.col("_here").alias("accuracy"))
-    unknown = points.filter(F.col("throughput").isNull() | F.col("accuracy").isNull())
-    return points.join(winners, ["throughput", "accuracy"], "left_semi").select(*points.columns).unionByName(unknown)
+    passing = known.join(F.broadcast(tops), "_range").filter("_beyond is null or accuracy > _beyond")
+
+    best = passing.groupBy("_range", "throughput").agg(F.max("accuracy").alias("accuracy"))
+    faster = Window.partitionBy("_range").orderBy(F.desc("throughput")).rowsBetween(Window.unboundedPreceding, -1)
+    winners = best.withColumn("_faster", F.max("accuracy").over(faster))
+    winners = winners.filter("_faster is null or accuracy > _faster").select("_range", "throughput", "accuracy")
+    kept = passing.join(winners, ["_range", "throughput", "accuracy"], "left_semi")
+    return kept.select(*points.columns).unionByName(unknown)
