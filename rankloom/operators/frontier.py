@@ -26,7 +26,7 @@ def pareto(points, buckets=64):
     unknown = points.filter("throughput is null or accuracy is null")
     shares = [i / buckets for i in range(1, buckets)]
     finite = known.filter(F.col("throughput") < float("inf"))
-    edges = sorted(set(finite.approxQuantile("throughput", shares, 0.5 / buckets)))
+    edges = sorted(set(finite.approxQuantile("throughput", shares, 0.5 / buckets))) if shares else []
     above = [f"if(throughput > {edge!r}D, 1, 0)" for edge in edges]
     known = known.withColumn("_range", F.expr(" + ".join(above) or "0"))
 
