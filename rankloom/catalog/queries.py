@@ -12,6 +12,7 @@ from rankloom.operators.limits import effective_limits
 from rankloom.operators.lookup import chunk_by_id, result_records, tokens_of_chunk
 from rankloom.operators.maxsim import best_matches, maxsim_scores, stage1_scores
 from rankloom.operators.metrics import query_metrics
+from rankloom.operators.sizing import stored
 from rankloom.operators.substring import match_counts, substring_filter, substring_join
 from rankloom.plans import dense, evaluate, ingest, late, lexical as lexical_plans
 from rankloom.schema import DOC_TITLE, SWEEP_VALUES
@@ -230,7 +231,8 @@ def unpack_offsets(spark, sf):
 
 def contains_qrels(spark, sf):
     found = substring_join(fx.queries(spark, sf), fx.chunks(spark, sf))
-    return found.select("query_id", F.col("id").alias("doc_id"), F.lit(1).alias("rel"))
+    judged = found.select("query_id", F.col("id").alias("doc_id"), F.lit(1).alias("rel"))
+    return stored(judged, "qrels")  # judgments are a table to all that read them
 
 
 def bm25_results(spark, sf):

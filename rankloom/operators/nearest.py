@@ -84,6 +84,7 @@ def _search(queries, corpus, k, query_keys, corpus_keys, vector, kind, digits, m
 
 def _paired(wanted, rows, query_keys, corpus_keys, vector, max_query_rows, listed, task, schema):
     """Query sets over the broadcast bound: shuffled block pairs."""
+    wanted = sizing.stored(wanted, "queries")
     if listed:
         # A hot list is cut into cells like any other, by the largest list.
         sizes = rows.groupBy("list_id").count().agg(F.max("count")).first()[0] or 0

@@ -7,6 +7,8 @@ to be under a bound; each caller has another way beyond the bound.
 
 from pyspark.sql import functions as F
 
+from rankloom.session import scratch_dir
+
 MAX_QUERY_ROWS = 4096
 MAX_BROADCAST_ROWS = 500_000
 
@@ -58,11 +60,25 @@ def pair_blocks(small, small_keys, small_blocks, large, large_keys, large_cells)
     return left.groupBy(*keys).cogroup(right.groupBy(*keys))
 
 
+def stored(df, name):
+    """Write to the shared scratch folder and read back.
+
+    For a small result that costs much to make and is needed more than once:
+    Spark does not share the output of Python stages between branches of a
+    plan, and a table outlives lost executors.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pinned(df, max_rows=MAX_QUERY_ROWS):
-    """``(df, n)``: a bounded query side held as local rows, so that encoding or
-    deriving it runs once and its exact size is known to the planner; over the
-    bound ``(df unchanged, None)``."""
+    """``(df, n)``: a query side that is encoded or derived only once.
+
+    Up to the bound it is held as local rows, so the planner knows its exact
+    size; beyond, it is stored and n is None.
+    """
     table = collect_bounded(df, max_rows)
     if table is None:
-        return df, None
+        return stored(df, "queries"), None
     return df.sparkSession.createDataFrame(table, schema=df.schema), table.num_rows

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from rankloom.operators.encode import HashEncoder, encode_dense
 from rankloom.operators.nearest import nearest
+from rankloom.operators.sizing import stored
 from rankloom.operators.upsert import update_dense
 
 
@@ -20,9 +21,13 @@ def dense_text_search(queries, chunks, k=100, encoder=HashEncoder, **options):
 
 
 def add_dense_vectors(chunks, corpus, encoder=HashEncoder, insert_missing=True):
-    """Encode the corpus texts and set them as dense vectors by id."""
+    """Encode the corpus texts and set them as dense vectors by id.
+
+    The vectors are stored first: the update reads its input more than once,
+    and every text is to be encoded once.
+    """
     texts = corpus.select(F.col("doc_id").alias("id"), "text")
-    return update_dense(chunks, encode_dense(texts, encoder), insert_missing)
+    return update_dense(chunks, stored(encode_dense(texts, encoder), "vectors"), insert_missing)
 
 
 def dense_run(found, system="dense", config="default"):

@@ -65,10 +65,9 @@ def sweep_run(
     """
     ann_grid, candidate_grid = list(ann_grid), list(candidate_grid)
     deepest = max(candidate_grid)
-    asked, n_rows = sizing.pinned(query_tokens)
-    bound = None if n_rows is None else n_rows * deepest * len(ann_grid)
-    picked = grid_candidates(asked, tokens, ann_grid, deepest, kind, digits)
-    exact = maxsim_scores(picked, asked, tokens, bound, digits, buckets=buckets)
+    asked, _ = sizing.pinned(query_tokens)
+    picked = sizing.stored(grid_candidates(asked, tokens, ann_grid, deepest, kind, digits), "candidates")
+    exact = maxsim_scores(picked, asked, tokens, picked.count(), digits, buckets=buckets)
     cells = F.array(*[F.lit(n) for n in candidate_grid])
     cells = picked.select("*", F.explode(cells).alias("n_candidates")).filter(F.col("rank") <= F.col("n_candidates"))
     scored = cells.drop("rank", "stage1").join(exact, ["query_id", "chunk_id"])

@@ -41,10 +41,12 @@ def late_interaction_search(
 
     ``rank`` is the stage-1 order in which they were picked; ``score`` is exact.
     """
-    asked, n_rows = sizing.pinned(query_tokens)
-    bound = None if n_rows is None else n_rows * n_candidates
+    asked, _ = sizing.pinned(query_tokens)
     picked = grid_candidates(asked, tokens, [n_ann], n_candidates, kind, digits, cap).drop("n_ann")
-    exact = maxsim_scores(picked, asked, tokens, bound, digits, floor_zero, buckets)
+    # Stored between the stages: the corpus is searched once, and the count of
+    # pairs that decides on the broadcast is exact.
+    picked = sizing.stored(picked, "candidates")
+    exact = maxsim_scores(picked, asked, tokens, picked.count(), digits, floor_zero, buckets)
     return picked.join(exact, ["query_id", "chunk_id"])
 
 
