@@ -164,38 +164,32 @@ def bm25_top(scores, k):
     return top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
 
 
-def bm25_top_filled(queries, corpus, scores, k, terms, totals):
+def bm25_top_filled(queries, corpus, scores, k):
     """Top k over all documents: those without a match have score 0.
 
     A document that shares no term, or whose score comes to 0, is a zero
     document; among these, corpus order decides.  A query needs zero documents
     only if fewer than k score above 0, and then the first ``k + x`` documents
     of the corpus hold enough of them, ``x`` being its number of documents with
-    another score.  When the mean idf is not negative no score is below 0 and
-    ``x < k``; otherwise ``x`` is measured.  ``terms`` and ``totals`` are the
-    statistics of the corpus.
+    another score.  Unless some scores are negative (most terms are in most
+    documents) these are all in the first k, and ``x < k``.
     """
-    n = totals.select("n_docs").scalar()
-    mean = terms.agg(F.avg(F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))).first()[0]
-    other = F.count(F.when(F.col("score") != 0, 1)).alias("other")
-    above = F.count(F.when(F.col("score") > 0, 1)).alias("above")
-    counted = queries.select("query_id").join(scores.groupBy("query_id").agg(other, above), "query_id", "left")
-    short = counted.select(
-        "query_id",
-        (F.lit(k) - F.coalesce("above", F.lit(0))).alias("missing"),
-        F.coalesce("other", F.lit(0)).alias("other"),
-    ).filter("missing > 0")
-    depth = 2 * k
-    if mean is not None and mean < 0:
-        depth = k + (short.agg(F.max("other")).first()[0] or 0)
-    head = corpus.select("doc_id").orderBy("doc_id").limit(depth)
-    head = head.withColumn("_all", F.lit(0))
+    other = scores.filter(F.col("score") != 0)
+    top = sizing.stored(bm25_top(other, k), "top").drop("rank")
+    above = top.filter(F.col("score") > 0).groupBy("query_id").agg(F.count(F.lit(1)).alias("above"))
+    short = queries.select("query_id").join(above, "query_id", "left")
+    short = short.select("query_id", (F.lit(k) - F.coalesce("above", F.lit(0))).alias("missing")).filter("missing > 0")
+    known, depth = top, 2 * k
+    if not top.filter(F.col("score") < 0).isEmpty():
+        known = other
+        counted = other.groupBy("query_id").agg(F.count(F.lit(1)).alias("x")).join(short, "query_id", "left_semi")
+        depth = k + (counted.agg(F.max("x")).first()[0] or 0)
+    head = corpus.select("doc_id").orderBy("doc_id").limit(depth).withColumn("_all", F.lit(0))
     head = ranked(head, ["_all"], [F.asc("doc_id")], "_at").drop("_all")
     zero = (
         short.select("query_id", "missing", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("_at"))
         .join(head, "_at")
-        .join(scores.filter(F.col("score") != 0).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+        .join(known.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
     )
     zero = ranked(zero, ["query_id"], [F.asc("doc_id")], "_nth").filter(F.col("_nth") <= F.col("missing"))
-    zero = zero.select("query_id", "doc_id", F.lit(0.0).alias("score"))
-    return bm25_top(scores.filter(F.col("score") != 0).unionByName(zero), k)
+    return bm25_top(top.unionByName(zero.select("query_id", "doc_id", F.lit(0.0).alias("score"))), k)

@@ -126,5 +126,7 @@ def accuracy_frontier(bench, n_queries):
     A bench of the usual size is held as local rows, so that the runs behind it
     are not repeated for each step of the frontier.
     """
-    bench, _ = sizing.pinned(bench)
+    table = sizing.collect_bounded(bench, sizing.MAX_QUERY_ROWS)
+    if table is not None:
+        bench = bench.sparkSession.createDataFrame(table, schema=bench.schema)
     return pareto(throughput(bench, n_queries))
