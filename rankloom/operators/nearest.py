@@ -3,12 +3,20 @@
 Exact search scores each corpus row against each query; what matters at scale
 is that the scores never become rows.  Each task multiplies an Arrow batch with
 the query matrix, keeps the k best so far per query, and gives out only rows
-that reach that mark.  The shuffle then carries about ``tasks * queries * k``
-rows, whatever the size of the corpus.
+that reach that mark.
+
+That alone would send ``tasks * queries * k`` rows to the final top-k.  On a
+corpus of many files a first pass therefore searches about the square root of
+the tasks; the k-th best score it finds is a lower bound of the true one, and the
+full pass starts from that mark.  Both passes then send about
+``sqrt(tasks) * queries * k`` values, and the result stays exact.
 """
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +25,7 @@ from rankloom.operators.ranking import top_k
 
 QUERY_STEP = 256
 CELL_ROWS = 65_536
+SEED_FILES = 256
 
 
 def nearest(
@@ -75,13 +84,25 @@ def _search(queries, corpus, k, query_keys, corpus_keys, vector, kind, digits, m
         if listed and table.num_rows:
             probed = sorted({x for row in table.column("lists").to_pylist() for x in row})
             rows = rows.filter(F.col("list_id").isin(probed))
-        hits = rows.mapInArrow(lambda batches: task.over_batches(table, batches), schema)
+        floor = _seed(table, rows, task, k) if len(rows.inputFiles()) >= SEED_FILES else None
+        hits = rows.mapInArrow(lambda batches: task.over_batches(table, batches, floor), schema)
     else:
         hits = _paired(wanted, rows, query_keys, corpus_keys, vector, max_query_rows, listed, task, schema)
     order = [F.desc("similarity"), *[F.asc(c) for c in corpus_keys]]
     return top_k(hits, query_keys, order, k)
 
 
+def _seed(table, rows, task, k):
+    """Per query a lower bound of its k-th best score, from some of the tasks."""
+    found = rows.mapInArrow(lambda batches: task.seed(table, batches), "q int, best array<double>")
+    best = top_k(found.select("q", F.explode("best").alias("s")), ["q"], [F.desc("s")], k)
+    bounds = best.groupBy("q").agg(F.min("s").alias("s"), F.count(F.lit(1)).alias("n")).filter(F.col("n") == k)
+    floor = np.full(table.num_rows, -np.inf)
+    for row in bounds.collect():  # at most one row per query of a bounded set
+        floor[row.q] = row.s
+    return floor
+
+
 def _paired(wanted, rows, query_keys, corpus_keys, vector, max_query_rows, listed, task, schema):
     """Query sets over the broadcast bound: shuffled block pairs."""
     wanted = sizing.stored(wanted, "queries")
@@ -113,26 +134,41 @@ class _BlockTopK:
         self.query_keys, self.corpus_keys = query_keys, corpus_keys
         self.vector, self.k, self.kind, self.digits, self.listed = vector, k, kind, digits, listed
 
-    def over_batches(self, table, batches):
+    def over_batches(self, table, batches, floor=None):
         if table.num_rows == 0:
             return
-        width = len(table.column(self.vector)[0].as_py())
-        q = arrow.matrix(table.column(self.vector), width)
-        mark = np.full((len(q), self.k), -np.inf)
-        probing = self._probing(table) if self.listed else None
+        q, mark, probing = self._start(table, floor)
         for batch in batches:
-            found = self._cut(table, q, mark, arrow.as_table(batch), width, probing)
+            found = self._cut(table, q, mark, arrow.as_table(batch), probing)
             if found is not None:
                 yield from found.to_batches(max_chunksize=50_000)
 
+    def seed(self, table, batches):
+        """The k best scores per query, in tasks whose number is a square."""
+        if table.num_rows == 0 or math.isqrt(TaskContext.get().partitionId()) ** 2 != TaskContext.get().partitionId():
+            return
+        q, mark, probing = self._start(table, None)
+        for batch in batches:
+            self._cut(table, q, mark, arrow.as_table(batch), probing)
+        for i, best in enumerate(mark):
+            best = best[best > -np.inf].tolist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([best], pa.list_(pa.float64()))], names=["q", "best"]
+            )
+
+    def _start(self, table, floor):
+        q = arrow.matrix(table.column(self.vector), len(table.column(self.vector)[0].as_py()))
+        mark = np.full((len(q), self.k), -np.inf)
+        if floor is not None:
+            mark[:] = floor[:, None]
+        return q, mark, self._probing(table) if self.listed else None
+
     def over_pair(self, table, corpus):
         empty = self._rows(table, corpus, [], [], [])
         if not (table.num_rows and corpus.num_rows):
             return empty
-        width = len(table.column(self.vector)[0].as_py())
-        q = arrow.matrix(table.column(self.vector), width)
-        mark = np.full((len(q), self.k), -np.inf)
-        found = self._cut(table, q, mark, corpus, width, None)
+        q = arrow.matrix(table.column(self.vector), len(table.column(self.vector)[0].as_py()))
+        found = self._cut(table, q, np.full((len(q), self.k), -np.inf), corpus, None)
         return empty if found is None else found
 
     def _probing(self, table):
@@ -143,11 +179,11 @@ class _BlockTopK:
                 probing.setdefault(one, []).append(i)
         return {one: np.array(who) for one, who in probing.items()}
 
-    def _cut(self, table, q, mark, corpus, width, probing):
+    def _cut(self, table, q, mark, corpus, probing):
         if corpus.num_rows == 0:
             return None
         corpus = corpus.take(arrow.key_order(corpus, self.corpus_keys))
-        vectors = arrow.matrix(corpus.column(self.vector), width)
+        vectors = arrow.matrix(corpus.column(self.vector), q.shape[1])
         usable = np.flatnonzero(np.isfinite(vectors.sum(axis=1)))
         if probing is None:
             parts = [(np.arange(len(q)), usable)]

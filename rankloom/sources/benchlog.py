@@ -42,8 +42,15 @@ def log_records(lines):
         F.when(F.col("line").startswith(LOG_ACCURACY), F.trim(after).try_cast("double")).alias("ndcg10"),
     )
     known = known.filter("label is not null or time is not null or ndcg10 is not null")
-    so_far = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    grouped = known.withColumn("record", F.count("label").over(so_far))
+    # Running count of headers, first by file block and then inside a block, so
+    # that a long log is not walked by one task.
+    block = F.col("line_no.start").alias("_start")
+    before = Window.partitionBy("path").orderBy("_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = known.groupBy("path", block).agg(F.count("label").alias("_n"))
+    blocks = blocks.select("path", "_start", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("path", "_start").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    counted = known.withColumn("_start", block).withColumn("_inside", F.count("label").over(inside))
+    grouped = counted.join(blocks, ["path", "_start"]).withColumn("record", F.col("_before") + F.col("_inside"))
 
     def last(name):
         # max over (line, value) structs; rows of other kinds are null and lose.

@@ -126,6 +126,14 @@ def test_log_records(spark, tmp_path):
     )
     (tmp_path / "b.log").write_text("nothing to see\n")
     got = log_records(read_log(spark, str(tmp_path))).orderBy("path", "record")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40")  # the same over many blocks
+    try:
+        split = read_log(spark, str(tmp_path))
+        assert split.select("line_no.start").distinct().count() > 3
+        cut = log_records(split).orderBy("path", "record").drop("path").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert cut == got.drop("path").collect()
     assert [(r.label, r.time, r.ndcg10) for r in got.collect()] == [
         (None, 9.5, None),
         ("20, 40", 1.25, 0.62),

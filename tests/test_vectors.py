@@ -112,6 +112,28 @@ def test_nearest_equals_brute_force(spark, rng, bound, kind):
     assert got == sorted(want)
 
 
+def test_nearest_with_a_seed_pass(spark, rng, tmp_path, monkeypatch):
+    vectors = unit_rows(rng, 600)
+    vectors[300:500] = vectors[3]
+    rows, tokens = make_tokens(spark, vectors, [i // 7 for i in range(600)])
+    path = str(tmp_path / "tokens")
+    tokens.repartition(6).write.parquet(path)
+    stored = spark.read.option("maxPartitionBytes", 4096).parquet(path)
+    arows, asked = make_asked(spark, np.vstack([unit_rows(rng, 6), vectors[3:4]]), 1)
+    keys = dict(query_keys=("query_id", "q_pos"), corpus_keys=("chunk_id", "embedding_id"))
+    plain = rows_of(nearest(asked, stored, 30, **keys))
+    floors = []
+    from rankloom.operators import nearest as module
+
+    real = module._seed
+    monkeypatch.setattr(module, "SEED_FILES", 1)
+    monkeypatch.setattr(module, "_seed", lambda *a: floors.append(real(*a)) or floors[-1])
+    assert rows_of(nearest(asked, stored, 30, **keys)) == plain
+    assert np.isfinite(floors[0]).all()
+    assert rows_of(nearest(asked, stored, 700, **keys)) == rows_of(nearest(asked, tokens, 700, **keys))
+    assert not np.isfinite(floors[1]).any()
+
+
 def test_nearest_small_and_empty(spark, rng):
     rows, tokens = make_tokens(spark, unit_rows(rng, 3), [0, 1, 2])
     _, asked = make_asked(spark, unit_rows(rng, 2), 1)
