@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rankloom.catalog import fixtures as fx
-from rankloom.functions.text import fixed_point, result_line, tokenize
+from rankloom.functions.text import fixed_point, tokenize
 from rankloom.functions.vectors import settle, similarity
 from rankloom.operators import clusters, lexical, ragged, upsert
 from rankloom.operators.encode import HashEncoder, encode_dense, encode_tokens

@@ -74,6 +74,11 @@ def query_terms(queries):
     return rows.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
+def token_count(queries):
+    """Tokens in the query set: no less than its (query, term) pairs."""
+    return queries.agg(F.sum(F.size(tokenize(F.col("text"))))).first()[0] or 0
+
+
 def term_weight(k1, b, mean_length):
     length_part = 1 - b + b * F.col("length") / mean_length
     return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length_part)
@@ -88,7 +93,7 @@ def bm25_scores(queries, corpus, k1=BM25_K1, b=BM25_B, epsilon=BM25_EPSILON, dig
     """
     terms, totals = vocabulary(corpus)
     asked = query_terms(queries)
-    bound = sizing.rows_if_bounded(asked, MAX_QUERY_TERMS)
+    bound = token_count(queries)
     asked = sizing.broadcast_if(asked, bound, MAX_QUERY_TERMS)
     weights = idf(terms, totals, epsilon).join(asked, "term")
     weights = weights.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
@@ -144,7 +149,7 @@ def bm25_scores_from_index(queries, path, k1=BM25_K1, b=BM25_B, buckets=TERM_BUC
     """Scores from a stored index; only buckets of query terms are read."""
     spark = queries.sparkSession
     asked = query_terms(queries)
-    bound = sizing.rows_if_bounded(asked, MAX_QUERY_TERMS)
+    bound = token_count(queries)
     terms, totals = stored_statistics(spark, path)
     weights = terms.join(sizing.broadcast_if(asked, bound, MAX_QUERY_TERMS), "term")
     weights = weights.select(

@@ -29,12 +29,6 @@ def broadcast_if(df, row_bound, max_rows=MAX_BROADCAST_ROWS):
     return df
 
 
-def rows_if_bounded(df, max_rows=MAX_BROADCAST_ROWS):
-    """Number of rows, or None when there are more than max_rows."""
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
-
-
 def blocks(rows, block_rows):
     """How many blocks of block_rows hold that many rows (at least one)."""
     return max(1, -(-rows // block_rows))

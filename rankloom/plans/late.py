@@ -19,7 +19,8 @@ def encode_queries(queries, encoder=HashEncoder):
 
 def token_hits(query_tokens, tokens, depth, kind="dot", digits=6):
     """The best ``depth`` token vectors per query token, ranked."""
-    return nearest(query_tokens, tokens, depth, ("query_id", "q_pos"), ("chunk_id", "embedding_id"), kind=kind, digits=digits)
+    keys = ("query_id", "q_pos"), ("chunk_id", "embedding_id")
+    return nearest(query_tokens, tokens, depth, *keys, kind=kind, digits=digits)
 
 
 def grid_candidates(query_tokens, tokens, grid, n_candidates, kind="dot", digits=6, cap=MAX_FETCH):

@@ -42,11 +42,6 @@ def read_run(spark, path):
     return spark.read.parquet(path)
 
 
-def first_rows(df, order, n):
-    """The first n rows in a fixed order."""
-    return df.orderBy(*order).limit(n)
-
-
 def latest(df, keys, version="seq"):
     """The newest row per key; map tasks keep one row per key before the shuffle."""
     return top_k(df, keys, [F.desc(version)], 1, "_newest").drop("_newest")

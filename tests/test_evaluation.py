@@ -6,6 +6,7 @@ from conftest import rows_of
 from rankloom.operators.frontier import pareto, throughput
 from rankloom.operators.metrics import query_metrics
 from rankloom.plans import evaluate
+from rankloom.schema import LOG_HEADER
 from rankloom.sources.benchlog import log_records, read_log
 
 RUN = "system string, config string, query_id string, doc_id string, score double"
@@ -120,9 +121,9 @@ def test_throughput_of_zero_time(spark):
 def test_log_records(spark, tmp_path):
     (tmp_path / "a.log").write_text(
         "noise\n  Time: 9.5 seconds\n"
-        "ANN,COLBERT: 20, 40\n  Time: 1.25 seconds\n  NDCG@1: 0.1\n  NDCG@10: 0.62000\n"
-        "ANN,COLBERT: 20, 80\n  NDCG@10: 0.5\n  NDCG@10: 0.7\nother: 3\n"
-        "ANN,COLBERT: empty\n"
+        f"{LOG_HEADER} 20, 40\n  Time: 1.25 seconds\n  NDCG@1: 0.1\n  NDCG@10: 0.62000\n"
+        f"{LOG_HEADER} 20, 80\n  NDCG@10: 0.5\n  NDCG@10: 0.7\nother: 3\n"
+        f"{LOG_HEADER} empty\n"
     )
     (tmp_path / "b.log").write_text("nothing to see\n")
     got = log_records(read_log(spark, str(tmp_path))).orderBy("path", "record")

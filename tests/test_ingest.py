@@ -8,6 +8,7 @@ from conftest import rows_of
 from rankloom.operators import upsert
 from rankloom.operators.encode import HashEncoder, encode_dense, encode_tokens
 from rankloom.plans import dense, ingest
+from rankloom.schema import PART_TOKENS
 from rankloom.sources import collection, documents, tables
 from rankloom.streaming import ingest as streaming
 
@@ -68,7 +69,7 @@ def test_written_documents_keep_everything(spark, tmp_path):
     lines = [json.loads(r.value) for r in spark.read.text(out).collect()]
     doc = next(d for d in lines if d["title"] == "t")
     assert doc["other"] == 5 and doc["3"] == part("hidden") and doc["01"] == part("no")
-    assert np.shape(doc["0"]["colbert_embedding"]) == (2, HashEncoder.width)
+    assert np.shape(doc["0"][PART_TOKENS]) == (2, HashEncoder.width)
     again = documents.good_documents(documents.read_documents(spark, out, "lines"))
     summary = {r.title: (r.n_parts, r.n_embeddings) for r in documents.ingest_summary(documents.document_parts(again)).collect()}
     assert summary == {"t": (2, 3), "many": (11, 11), "twice": (1, 1), "zé": (1, 2)}
@@ -83,7 +84,7 @@ def test_files_are_loaded_once(spark, tmp_path):
     folder.mkdir()
     for i in range(5):
         with gzip.open(folder / f"{i}.json.gz", "wt") as out:
-            json.dump({"title": f"d{i}", "0": {**part("x"), "colbert_embedding": [[1.0, 0.0]]}}, out)
+            json.dump({"title": f"d{i}", "0": {**part("x"), PART_TOKENS: [[1.0, 0.0]]}}, out)
     (folder / "skip.json").write_text("{}")
     with gzip.open(folder / "broken.json.gz", "wt") as out:
         out.write("{")
