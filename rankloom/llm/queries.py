@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import mixing, sharding, simhash
+from rankloom.llm import langid, mixing, quality, sharding, simhash
 from rankloom.llm.common import documents
 
 
@@ -14,6 +14,14 @@ def op7_mixing(spark, sf_dir):
     return mixing.mix(documents(spark, sf_dir)).drop("source")
 
 
+def op8_langid(spark, sf_dir):
+    return langid.identify(documents(spark, sf_dir))
+
+
+def op9_quality(spark, sf_dir):
+    return quality.classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op10_simhash(spark, sf_dir):
     found = simhash.groups(documents(spark, sf_dir))
     return found.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
@@ -22,6 +30,8 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
+    "op8_langid": op8_langid,
+    "op9_quality": op9_quality,
     "op10_simhash": op10_simhash,
 }
 
