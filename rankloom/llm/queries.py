@@ -2,10 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import langid, mixing, quality, sharding, simhash
+from rankloom.llm import langid, minhash, mixing, quality, sharding, simhash
 from rankloom.llm.common import documents
 
 
+def op4_minhash(spark, sf_dir):
+    return minhash.compare_edited(documents(spark, sf_dir))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id")
 
@@ -28,6 +32,7 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op4_minhash": op4_minhash,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_langid": op8_langid,
