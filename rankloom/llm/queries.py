@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import langid, minhash, mixing, quality, sharding, simhash
+from rankloom.llm import decontaminate, langid, minhash, mixing, quality, sharding, simhash
 from rankloom.llm.common import documents
 
 
@@ -10,6 +10,10 @@ def op4_minhash(spark, sf_dir):
     return minhash.compare_edited(documents(spark, sf_dir))
 
 
+def op5_decontaminate(spark, sf_dir):
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.place(documents(spark, sf_dir).select("doc_id"), "doc_id")
 
@@ -33,6 +37,7 @@ def op10_simhash(spark, sf_dir):
 
 QUERIES = {
     "op4_minhash": op4_minhash,
+    "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
     "op7_mixing": op7_mixing,
     "op8_langid": op8_langid,
