@@ -2,10 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, langid, minhash, mixing, quality, sharding, simhash
+from rankloom.llm import decontaminate, langid, minhash, mixing, passages, pii, quality, sharding, simhash
 from rankloom.llm.common import documents
 
 
+def op1_pii(spark, sf_dir):
+    return pii.personal_data(documents(spark, sf_dir))
+
+
+def op2_passages(spark, sf_dir):
+    return passages.repeated(documents(spark, sf_dir))
+
+
 def op4_minhash(spark, sf_dir):
     return minhash.compare_edited(documents(spark, sf_dir))
 
@@ -36,6 +44,8 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_passages": op2_passages,
     "op4_minhash": op4_minhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
