@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.llm import decontaminate, langid, minhash, mixing, passages, pii, quality, sharding, simhash
+from rankloom.llm import decontaminate, langid, lm, minhash, mixing, passages, pii, quality, sharding, simhash
 from rankloom.llm.common import documents
 
 
@@ -14,6 +14,10 @@ def op2_passages(spark, sf_dir):
     return passages.repeated(documents(spark, sf_dir))
 
 
+def op3_lm(spark, sf_dir):
+    return lm.score(documents(spark, sf_dir))
+
+
 def op4_minhash(spark, sf_dir):
     return minhash.compare_edited(documents(spark, sf_dir))
 
@@ -46,6 +50,7 @@ def op10_simhash(spark, sf_dir):
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_passages": op2_passages,
+    "op3_lm": op3_lm,
     "op4_minhash": op4_minhash,
     "op5_decontaminate": op5_decontaminate,
     "op6_sharding": op6_sharding,
