@@ -170,5 +170,6 @@ def contaminated(docs, benchmark, window=WINDOW, coverage=COVERAGE, consistent=C
 def clean(docs, benchmark, **rules):
     """The rows of docs (with all their columns) in which no item is found."""
     found = contaminated(docs, benchmark, **rules).select(F.col("row_key").alias("_leak_key")).distinct()
+    found = stored(found, "template-found")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    return docs.join(stored(found, "template-found"), key == F.col("_leak_key"), "left_anti")
+    return docs.join(broadcast_if(found, found.count()), key == F.col("_leak_key"), "left_anti")

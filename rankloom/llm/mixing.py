@@ -95,16 +95,14 @@ def thresholds(rows, budgets, sources=None, level_bits=LEVEL_BITS):
     return open_.select("source", cut.alias("cut"))
 
 
-def mix(docs, weights=WEIGHTS, repeats=MOST_REPEATS):
-    """One row for each document: ``doc_id, source, size, source_size, target, taken``.
-
-    docs: doc_id, text, source.  size: the words of the text, 0 for null.  taken: the words
-    the mix takes of this document, repeats counted; 0 if it is left out.  Documents without words
-    take nothing.  A null source is a source; rows that repeat a doc_id within a
-    source share its hash and so its fate; an empty table gives an empty table.
-    """
+def _sizes(docs):
+    """``(source, size, h, doc_id)`` of each document, stored: the text is read once."""
     rows = pick(docs, doc_id="doc_id", text="text", source="source")
-    rows = stored(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")), "mix-sizes")
+    return stored(rows.select("doc_id", "source", word_count(F.col("text")).alias("size"), hash60(F.col("doc_id")).alias("h")), "mix-sizes")
+
+
+def _plan(rows, weights, repeats):
+    """``(s, source_size, target, whole, cut)`` for each source, and the number of sources."""
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = targets(sizes, weights, repeats).select(
         "*", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("whole")
@@ -114,6 +112,33 @@ def mix(docs, weights=WEIGHTS, repeats=MOST_REPEATS):
     cuts = thresholds(rows, plan.where("budget > 0").select("source", "budget"), sources)
     near = plan.join(cuts.withColumnRenamed("source", "cs"), F.col("cs").eqNullSafe(F.col("source")), "left")
     near = near.select(F.col("source").alias("s"), "source_size", "target", "whole", F.coalesce("cut", F.lit(0).cast("long")).alias("cut"))
+    return stored(near, "mix-cuts"), sources
+
+
+def mix(docs, weights=WEIGHTS, repeats=MOST_REPEATS):
+    """One row for each document: ``doc_id, source, size, source_size, target, taken``.
+
+    docs: doc_id, text, source.  size: the words of the text, 0 for null.  taken: the words
+    the mix takes of this document, repeats counted; 0 if it is left out.  Documents without words
+    take nothing.  A null source is a source; rows that repeat a doc_id within a
+    source share its hash and so its fate; an empty table gives an empty table.
+    """
+    rows = _sizes(docs)
+    near, sources = _plan(rows, weights, repeats)
     out = rows.join(broadcast_if(near, sources), F.col("s").eqNullSafe(F.col("source")))
     taken = F.col("size") * (F.col("whole") + (F.col("h") < F.col("cut")).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixed(docs, weights=WEIGHTS, repeats=MOST_REPEATS):
+    """The rows of docs (with all their columns) as often as the mix takes them, at most ``repeats`` times.
+
+    Every document is decided on by its own hash and its source's threshold, so the texts
+    are not shuffled.  Rules as for ``mix``.
+    """
+    near, sources = _plan(_sizes(docs), weights, repeats)
+    near = near.select(F.struct("s", "whole", "cut").alias("_mix"))
+    out = docs.join(broadcast_if(near, sources), F.col("_mix.s").eqNullSafe(F.col("source")))
+    copies = F.col("_mix.whole") + (hash60(F.col("doc_id")) < F.col("_mix.cut")).cast("long")
+    again = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<long>"))
+    return out.withColumn("_mix", F.explode(again)).select(*(f"`{c}`" for c in docs.columns))

@@ -218,6 +218,13 @@ def posterior(scored, targets=TARGETS):
     return out
 
 
+def _judged(rows, model, least):
+    """rows (doc_id, host, path, text) with posteriors, rates and ``keep``."""
+    rows = rows.select(F.col("doc_id").cast("long"), F.col("host").cast("string"), F.col("path").cast("string"), "text")
+    out = posterior(stored(evidence(rows, model), "quality-evidence"))
+    return out.withColumn("keep", (F.col("quality") >= least) & (F.col("toxic") < least))
+
+
 def classify(docs, labels, host="source", path="lang", least=0.5):
     """One row for each document: ``doc_id, host, path``, posteriors, rates, and ``keep``.
 
@@ -225,8 +232,14 @@ def classify(docs, labels, host="source", path="lang", least=0.5):
     quality, toxic.  A null or empty text is scored by its (empty) shape.  Rows that
     repeat a doc_id are scored row by row.  An empty table gives an empty table.
     """
-    model = train(docs, labels)
-    rows = pick(docs, doc_id="doc_id", text="text", host=host, path=path)
-    rows = rows.select(F.col("doc_id").cast("long"), F.col("host").cast("string"), F.col("path").cast("string"), "text")
-    out = posterior(stored(evidence(rows, model), "quality-evidence"))
-    return out.withColumn("keep", (F.col("quality") >= least) & (F.col("toxic") < least))
+    return _judged(pick(docs, doc_id="doc_id", text="text", host=host, path=path), train(docs, labels), least)
+
+
+def kept(docs, labels, host="source", path="lang", least=0.5):
+    """The rows of docs (with all their columns) that ``classify`` keeps."""
+    columns = [F.col(f"`{c}`") for c in ("doc_id", "text", host, path)]
+    key = F.xxhash64(*columns)
+    rows = docs.select(key.alias("doc_id"), columns[1].alias("text"), columns[2].alias("host"), columns[3].alias("path"))
+    out = _judged(rows, train(docs, labels), least).where(~F.col("keep")).select(F.col("doc_id").alias("_rejected")).distinct()
+    out = stored(out, "quality-rejected")
+    return docs.join(broadcast_if(out, out.count()), key == F.col("_rejected"), "left_anti")

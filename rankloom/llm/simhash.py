@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rankloom.llm.common import lower_bytes, pick, texts
 from rankloom.llm.components import components
-from rankloom.operators.sizing import stored
+from rankloom.operators.sizing import broadcast_if, stored
 
 BITS = 64
 SHINGLE = 4
@@ -208,5 +208,26 @@ def groups(docs, width=SHINGLE, max_bits=MAX_BITS):
     return fps.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs, width=SHINGLE, max_bits=MAX_BITS):
+    """The rows of docs (with all their columns) without those that are near-duplicates of a kept one.
+
+    Of each component the row with the smallest doc_id stays (a null doc_id comes last); of rows
+    that are the same in all columns, one.
+    """
+    key = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    found = stored(groups(docs.select(key.alias("doc_id"), "text"), width, max_bits).select(F.col("doc_id").alias("k"), "component_id"), "simhash-rows")
+    ids = docs.select(key.alias("i"), F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), key.alias("key")).alias("rank")).distinct()
+    ranked = found.groupBy("k", "component_id").agg(F.count("*").alias("n")).join(ids, F.col("k") == F.col("i"))
+    ranked = stored(ranked.select("k", "component_id", "n", "rank"), "simhash-ranked")
+    first = stored(ranked.groupBy(F.col("component_id").alias("c")).agg(F.min("rank").alias("best")), "simhash-first")
+    out = ranked.join(first.select("c", F.col("best.key").alias("stays")), F.col("component_id") == F.col("c"))
+    out = stored(out.where((F.col("k") != F.col("stays")) | (F.col("n") > 1)).select(F.col("k").alias("_out"), (F.col("k") == F.col("stays")).alias("again")), "simhash-out")
+    total = out.count()
+    rest = docs.join(broadcast_if(out.select("_out"), total), key == F.col("_out"), "left_anti")
+    twice = out.where("again").select("_out")
+    same = docs.join(broadcast_if(twice, total), key == F.col("_out"), "left_semi").dropDuplicates()
+    return rest.unionByName(same)
+
+
 def hex16(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
