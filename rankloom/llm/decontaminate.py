@@ -152,7 +152,8 @@ def contaminated(docs, benchmark, window=WINDOW, coverage=COVERAGE, consistent=C
     right = [c for c in checked.columns if c not in one]
     joined = spots.alias("s").join(checked.alias("c"), [F.col(f"s.{c}").eqNullSafe(F.col(f"c.{c}")) for c in one], "left")
     joined = joined.select(*(F.col(f"s.{c}").alias(c) for c in spots.columns), *(F.col(f"c.{c}").alias(c) for c in right))
-    share = F.least("of_item", "of_doc") / F.greatest("pairs", F.lit(1))
+    # pairs beyond one for each value, on either side, contradict
+    share = F.greatest(F.lit(0.0), 1 - (2 * F.col("pairs") - F.col("of_item") - F.col("of_doc")) / F.greatest("pairs", F.lit(1)))
     out = joined.select(
         "doc_id",
         "item_id",
