@@ -13,7 +13,7 @@ from rankloom.operators.lookup import chunk_by_id, result_records, tokens_of_chu
 from rankloom.operators.maxsim import best_matches, maxsim_scores, stage1_scores
 from rankloom.operators.metrics import query_metrics
 from rankloom.operators.sizing import stored
-from rankloom.operators.substring import match_counts, substring_filter, substring_join
+from rankloom.operators.substring import match_counts, substring_filter, substring_join, substring_matches
 from rankloom.plans import dense, evaluate, ingest, late, lexical as lexical_plans
 from rankloom.schema import DOC_TITLE, SWEEP_VALUES
 from rankloom.session import scratch_dir
@@ -40,7 +40,7 @@ def substring_all(spark, sf):
 
 def substring_counts(spark, sf):
     asked = fx.queries(spark, sf)
-    return match_counts(asked, substring_join(asked, fx.chunks(spark, sf)))
+    return match_counts(asked, substring_matches(asked, fx.chunks(spark, sf)))
 
 
 def format_results(spark, sf):
@@ -230,7 +230,7 @@ def unpack_offsets(spark, sf):
 
 
 def contains_qrels(spark, sf):
-    found = substring_join(fx.queries(spark, sf), fx.chunks(spark, sf))
+    found = substring_matches(fx.queries(spark, sf), fx.chunks(spark, sf))
     judged = found.select("query_id", F.col("id").alias("doc_id"), F.lit(1).alias("rel"))
     return stored(judged, "qrels")  # judgments are a table to all that read them
 
@@ -394,9 +394,9 @@ def load_qrels(spark, sf):
 
 
 def query_restriction(spark, sf):
-    """The first 100 queries by position, and their judgments."""
+    """The judgments of the first 25 queries by position."""
     asked = fx.queries(spark, sf).withColumn("pos", F.col("query_id"))
-    _, judged = collection.restrict_queries(asked, contains_qrels(spark, sf))
+    _, judged = collection.restrict_queries(asked, contains_qrels(spark, sf), 25)
     return judged
 
 

@@ -17,14 +17,19 @@ from pyspark.sql import types as T
 from rankloom.operators import arrow
 from rankloom.operators.nearest import nearest_in_lists
 
-MAX_LISTS = 65_536
+TRAIN_ROWS = 256
 
 
-def train_lists(corpus, n_lists, vector="embedding", iterations=10, seed=17, train_fraction=1.0):
-    """Centroids by k-means.  A fraction trains faster; it never drops results."""
-    if not 2 <= n_lists <= MAX_LISTS:
-        raise ValueError(f"n_lists must be 2 to {MAX_LISTS}")
+def train_lists(corpus, n_lists, vector="embedding", iterations=10, seed=17, train_fraction=None):
+    """Centroids by k-means on a sample, ``TRAIN_ROWS`` rows for each list by default.
+
+    Only training samples; every row is assigned and stored.
+    """
+    if n_lists < 2:
+        raise ValueError("n_lists must be at least 2")
     rows = corpus.filter(F.col(vector).isNotNull())
+    if train_fraction is None:
+        train_fraction = min(1.0, TRAIN_ROWS * n_lists / max(1, rows.count()))
     if train_fraction < 1.0:
         rows = rows.sample(fraction=train_fraction, seed=seed)
     rows = rows.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
@@ -40,14 +45,18 @@ def assign_lists(corpus, model: KMeansModel, vector="embedding"):
     return model.transform(rows).drop("_features")
 
 
-def write_lists(assigned, path, files_per_list=1):
-    """Store by list.  A hot list is spread over ``files_per_list`` tasks."""
+def write_lists(assigned, path, files_per_list=None):
+    """Store by list.  A hot list is spread over tasks by its bytes, or over ``files_per_list`` tasks."""
+    if files_per_list is None:
+        assigned.hint("rebalance", "list_id").write.partitionBy("list_id").parquet(os.fspath(path))
+        return
     salt = F.pmod(F.xxhash64(*[F.col(c) for c in assigned.columns if c != "list_id"]), F.lit(files_per_list))
     (assigned.repartition("list_id", salt).write.partitionBy("list_id").parquet(os.fspath(path)))
 
 
 def probe_lists(queries, model: KMeansModel, nprobe, vector="embedding"):
-    """Add ``lists``: the ids of the nprobe nearest centroids per query vector."""
+    """Add ``lists``: the nprobe lists whose centroids have the largest product with the query vector,
+    as rows are ranked by products too."""
     centers = np.array(model.clusterCenters())
     names = queries.columns
     schema = T.StructType([*queries.schema.fields, T.StructField("lists", T.ArrayType(T.IntegerType()))])
@@ -55,8 +64,7 @@ def probe_lists(queries, model: KMeansModel, nprobe, vector="embedding"):
     def near(batches):
         for batch in batches:
             q = arrow.matrix(batch.column(names.index(vector)), centers.shape[1])
-            far = (centers**2).sum(axis=1)[None, :] - 2 * (q @ centers.T)
-            lists = np.argsort(far, axis=1, kind="stable")[:, :nprobe].astype(np.int32)
+            lists = np.argsort(-(q @ centers.T), axis=1, kind="stable")[:, :nprobe].astype(np.int32)
             column = pa.array(list(lists), pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*names, "lists"])
 

@@ -117,8 +117,8 @@ def bm25_scores(queries, corpus, k1=BM25_K1, b=BM25_B, epsilon=BM25_EPSILON, dig
 def write_index(corpus, path, epsilon=BM25_EPSILON, buckets=TERM_BUCKETS, mode="errorifexists"):
     """Store the statistics once for many searches: terms, totals, postings.
 
-    Postings are kept by a hash bucket of the term and sorted inside files; a
-    second hash of the document spreads a term that most documents share.
+    Postings are kept by a hash bucket of the term and sorted inside files; tasks are sized
+    by their bytes, so a term that most documents share takes several.
     """
     terms, totals = vocabulary(corpus)
     totals.write.mode(mode).parquet(f"{path}/totals")
@@ -128,7 +128,7 @@ def write_index(corpus, path, epsilon=BM25_EPSILON, buckets=TERM_BUCKETS, mode="
     counted = rows.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     (
         counted.withColumn("term_bucket", _term_bucket(buckets))
-        .repartition("term_bucket", F.pmod(F.xxhash64("doc_id"), F.lit(8)))
+        .hint("rebalance", "term_bucket")
         .sortWithinPartitions("term_bucket", "term")
         .write.mode(mode)
         .partitionBy("term_bucket")

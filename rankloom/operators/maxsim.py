@@ -1,12 +1,14 @@
 """Late-interaction scores: best match per query token, summed per passage."""
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rankloom.functions.vectors import dot, settle
+from rankloom.functions.vectors import settle
 from rankloom.operators import arrow, sizing
 from rankloom.operators.ranking import top_k
 from rankloom.sources.tables import bucket_of
@@ -36,7 +38,7 @@ def maxsim_scores(
     digits=6,
     floor_zero=False,
     buckets=None,
-    max_query_rows=sizing.MAX_QUERY_ROWS,
+    block_bytes=sizing.BLOCK_BYTES,
 ):
     """Exact score of each wanted ``(query_id, chunk_id)`` pair.
 
@@ -44,7 +46,8 @@ def maxsim_scores(
     chunk, summed over positions.  ``wanted_bound`` is the proven number of
     wanted pairs; under the broadcast bound the token table is not shuffled.
     ``floor_zero`` counts negative best matches as 0.  ``buckets``: the number
-    the token table was written with, so that other buckets are not read.
+    the token table was written with, so that other buckets are not read.  A query
+    set over ``block_bytes`` is scored in blocks of queries.
 
     The vectors of one chunk are never brought into one task: each batch gives
     its own best values, and the maximum over batches is a Spark aggregate.
@@ -57,25 +60,20 @@ def maxsim_scores(
     pairs = sizing.broadcast_if(pairs, wanted_bound)
     rows = tokens.filter(F.col("embedding").isNotNull()).join(pairs, shared)
     asked = query_tokens.select("query_id", "q_pos", "embedding").filter(F.col("embedding").isNotNull())
-    table = sizing.collect_bounded(asked, max_query_rows)
-    if table is not None:
-        schema = T.StructType(
-            [
-                rows.schema["query_id"],
-                rows.schema["chunk_id"],
-                asked.schema["q_pos"],
-                T.StructField("best", T.DoubleType()),
-            ]
-        )
-        best = rows.select("query_id", "chunk_id", "embedding").mapInArrow(
-            lambda batches: _best_per_batch(table, batches, schema.names), schema
-        )
-    else:
-        both = rows.select("query_id", "chunk_id", "embedding").join(
-            asked.withColumnRenamed("embedding", "_asked"), "query_id"
-        )
-        best = both.select("query_id", "chunk_id", "q_pos", dot("embedding", "_asked").alias("best"))
-    best = best.groupBy("query_id", "chunk_id", "q_pos").agg(F.max("best").alias("best"))
+    schema = T.StructType(
+        [rows.schema["query_id"], rows.schema["chunk_id"], asked.schema["q_pos"], T.StructField("best", T.DoubleType())]
+    )
+    first = asked.select(F.size("embedding")).first()
+    found = []
+    for table, alone in sizing.query_blocks(asked, ["query_id"], 8 * (first[0] if first else 1), block_bytes):
+        mine = rows.select("query_id", "chunk_id", "embedding")
+        if not alone:
+            own = asked.sparkSession.createDataFrame(table.select(["query_id"])).distinct()
+            mine = mine.join(F.broadcast(own), "query_id", "left_semi")
+        best = mine.mapInArrow(lambda batches, table=table: _best_per_batch(table, batches, schema.names), schema)
+        best = best.groupBy("query_id", "chunk_id", "q_pos").agg(F.max("best").alias("best"))
+        found.append(best if alone else sizing.stored(best, "maxsim"))
+    best = reduce(lambda a, b: a.union(b), found)
     if floor_zero:
         best = best.withColumn("best", F.greatest("best", F.lit(0.0)))
     return best.groupBy("query_id", "chunk_id").agg(settle(F.sum("best"), digits).alias("score"))

@@ -5,14 +5,19 @@ is that the scores never become rows.  Each task multiplies an Arrow batch with
 the query matrix, keeps the k best so far per query, and gives out only rows
 that reach that mark.
 
-That alone would send ``tasks * queries * k`` rows to the final top-k.  On a
-corpus of many files a first pass therefore searches about the square root of
+A query set too large for a task is searched in blocks, one pass of map tasks each;
+the corpus is never shuffled.
+
+One pass would send ``tasks * queries * k`` rows to the final top-k.  On a
+corpus of many splits a first pass therefore searches about the square root of
 the tasks; the k-th best score it finds is a lower bound of the true one, and the
 full pass starts from that mark.  Both passes then send about
 ``sqrt(tasks) * queries * k`` values, and the result stays exact.
 """
 
 import math
+import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +29,8 @@ from rankloom.operators import arrow, sizing
 from rankloom.operators.ranking import top_k
 
 QUERY_STEP = 256
-CELL_ROWS = 65_536
-SEED_FILES = 256
+#: Scan tasks of a corpus from which the seed pass pays.
+SEED_SPLITS = 256
 
 
 def nearest(
@@ -37,7 +42,7 @@ def nearest(
     vector="embedding",
     kind="dot",
     digits=6,
-    max_query_rows=sizing.MAX_QUERY_ROWS,
+    block_bytes=sizing.BLOCK_BYTES,
 ):
     """``query_keys, corpus_keys, similarity, rank`` of the k best rows per query.
 
@@ -45,7 +50,7 @@ def nearest(
     then corpus keys ascending; the similarity is rounded to ``digits`` first
     (None: not rounded) so that equal vectors tie wherever they are scored.
     """
-    return _search(queries, corpus, k, query_keys, corpus_keys, vector, kind, digits, max_query_rows, False)
+    return _search(queries, corpus, k, query_keys, corpus_keys, vector, kind, digits, block_bytes, False)
 
 
 def nearest_in_lists(
@@ -57,16 +62,16 @@ def nearest_in_lists(
     vector="embedding",
     kind="dot",
     digits=6,
-    max_query_rows=sizing.MAX_QUERY_ROWS,
+    block_bytes=sizing.BLOCK_BYTES,
 ):
     """Approximate form: a row is scored only for queries that probe its list.
 
     ``corpus`` has ``list_id``; ``queries`` has ``lists``, an array of list ids.
     """
-    return _search(queries, corpus, k, query_keys, corpus_keys, vector, kind, digits, max_query_rows, True)
+    return _search(queries, corpus, k, query_keys, corpus_keys, vector, kind, digits, block_bytes, True)
 
 
-def _search(queries, corpus, k, query_keys, corpus_keys, vector, kind, digits, max_query_rows, listed):
+def _search(queries, corpus, k, query_keys, corpus_keys, vector, kind, digits, block_bytes, listed):
     if k < 1:
         raise ValueError("k must be at least 1")
     query_keys, corpus_keys = list(query_keys), list(corpus_keys)
@@ -79,17 +84,36 @@ def _search(queries, corpus, k, query_keys, corpus_keys, vector, kind, digits, m
     )
     task = _BlockTopK(query_keys, corpus_keys, vector, k, kind, digits, listed)
 
-    table = sizing.collect_bounded(wanted, max_query_rows)
-    if table is not None:
+    order = [F.desc("similarity"), *[F.asc(c) for c in corpus_keys]]
+    found = []
+    for table, alone in sizing.query_blocks(wanted, query_keys, _row_bytes(wanted, vector, k), block_bytes):
+        asked = rows
         if listed and table.num_rows:
             probed = sorted({x for row in table.column("lists").to_pylist() for x in row})
-            rows = rows.filter(F.col("list_id").isin(probed))
-        floor = _seed(table, rows, task, k) if len(rows.inputFiles()) >= SEED_FILES else None
-        hits = rows.mapInArrow(lambda batches: task.over_batches(table, batches, floor), schema)
-    else:
-        hits = _paired(wanted, rows, query_keys, corpus_keys, vector, max_query_rows, listed, task, schema)
-    order = [F.desc("similarity"), *[F.asc(c) for c in corpus_keys]]
-    return top_k(hits, query_keys, order, k)
+            asked = rows.filter(F.col("list_id").isin(probed))
+        floor = _seed(table, asked, task, k) if _splits(asked) >= SEED_SPLITS else None
+        hits = asked.mapInArrow(lambda batches, table=table, floor=floor: task.over_batches(table, batches, floor), schema)
+        best = top_k(hits, query_keys, order, k)
+        found.append(best if alone else sizing.stored(best, "nearest"))
+    return reduce(lambda a, b: a.union(b), found)
+
+
+def _row_bytes(wanted, vector, k):
+    """What a query costs a task: its vector and its k best scores so far."""
+    first = wanted.select(F.size(vector)).first()
+    return 8 * ((first[0] if first else 0) + 2 * k)
+
+
+def _splits(rows):
+    """About how many scan tasks the rows take, from the planner's size of them."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = rows.sparkSession.conf.get("spark.sql.files.maxPartitionBytes", "134217728b")
+    return size // max(1, _bytes(split))
+
+
+def _bytes(text):
+    number = re.match(r"\s*(\d+)\s*([kmgt]?)", str(text).lower())
+    return int(number[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[number[2]]
 
 
 def _seed(table, rows, task, k):
@@ -103,28 +127,6 @@ def _seed(table, rows, task, k):
     return floor
 
 
-def _paired(wanted, rows, query_keys, corpus_keys, vector, max_query_rows, listed, task, schema):
-    """Query sets over the broadcast bound: shuffled block pairs."""
-    wanted = sizing.stored(wanted, "queries")
-    if listed:
-        # A hot list is cut into cells like any other, by the largest list.
-        sizes = rows.groupBy("list_id").count().agg(F.max("count")).first()[0] or 0
-        wanted = wanted.withColumn("_list", F.explode("lists")).drop("lists")
-        rows = rows.withColumnRenamed("list_id", "_list")
-        wanted = wanted.withColumn("_list", F.col("_list").cast(rows.schema["_list"].dataType))
-    else:
-        sizes = rows.count()
-    pairs = sizing.pair_blocks(
-        wanted,
-        [*query_keys, vector],
-        sizing.blocks(wanted.count(), max_query_rows),
-        rows,
-        [*corpus_keys, vector],
-        sizing.blocks(sizes, CELL_ROWS),
-    )
-    return pairs.applyInArrow(lambda q, c: task.over_pair(q, c), schema)
-
-
 class _BlockTopK:
     """The work of one task: block product, running k-th best, local cut."""
 
@@ -163,14 +165,6 @@ class _BlockTopK:
             mark[:] = floor[:, None]
         return q, mark, self._probing(table) if self.listed else None
 
-    def over_pair(self, table, corpus):
-        empty = self._rows(table, corpus, [], [], [])
-        if not (table.num_rows and corpus.num_rows):
-            return empty
-        q = arrow.matrix(table.column(self.vector), len(table.column(self.vector)[0].as_py()))
-        found = self._cut(table, q, np.full((len(q), self.k), -np.inf), corpus, None)
-        return empty if found is None else found
-
     def _probing(self, table):
         """list id -> numbers of the queries that probe it."""
         probing = {}

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from rankloom.session import scratch_dir
 
+#: Rows that ``pinned`` keeps as local rows instead of a stored table.
 MAX_QUERY_ROWS = 4096
+#: Of a query set that goes to every task at once.
+BLOCK_BYTES = 32 << 20
 MAX_BROADCAST_ROWS = 500_000
 
 
@@ -29,29 +32,23 @@ def broadcast_if(df, row_bound, max_rows=MAX_BROADCAST_ROWS):
     return df
 
 
-def blocks(rows, block_rows):
-    """How many blocks of block_rows hold that many rows (at least one)."""
-    return max(1, -(-rows // block_rows))
+def query_blocks(df, keys, row_bytes, block_bytes=BLOCK_BYTES):
+    """``(table, alone)``: a query set as Arrow tables of about block_bytes each, one after another.
 
-
-def pair_blocks(small, small_keys, small_blocks, large, large_keys, large_cells):
-    """Co-grouped blocks that bring every small row to every large row.
-
-    For a small side that is over the broadcast bound.  Both sides are cut by a
-    hash of their keys into blocks of limited size and copied once per block of
-    the other side, so that each pair of blocks meets in exactly one task; the
-    task keeps a summary (a local top-k, or the matches), never the pairs.
-    Join columns that both sides share (a cluster list, say) go in first through
-    ``_list`` when present.
+    The plan is the same for any size: each block is one pass of map tasks over the
+    corpus.  A set that fits is read once and is ``alone``; a larger one is stored and cut by a
+    hash of the keys, and the driver holds one block at a time, so the caller must
+    store a block's result before it asks for the next.
     """
-    keys = [c for c in ("_list",) if c in small.columns] + ["_block", "_cell"]
-    left = small.withColumn("_block", F.pmod(F.xxhash64(*small_keys), F.lit(small_blocks))).withColumn(
-        "_cell", F.explode(F.sequence(F.lit(0), F.lit(large_cells - 1)).cast("array<bigint>"))
-    )
-    right = large.withColumn("_cell", F.pmod(F.xxhash64(*large_keys), F.lit(large_cells))).withColumn(
-        "_block", F.explode(F.sequence(F.lit(0), F.lit(small_blocks - 1)).cast("array<bigint>"))
-    )
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys))
+    most = max(1, block_bytes // row_bytes)
+    table = collect_bounded(df, most)
+    if table is not None:
+        yield table, True
+        return
+    df = stored(df, "queries")
+    n = -(-df.count() // most)
+    for i in range(n):
+        yield df.filter(F.pmod(F.xxhash64(*keys), F.lit(n)) == i).toArrow(), False
 
 
 def stored(df, name):

@@ -1,5 +1,7 @@
 """Case-sensitive substring search, one query or a whole query set."""
 
+from functools import reduce
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import functions as F
@@ -12,37 +14,35 @@ try:
 except ImportError:  # one pattern at a time then
     ahocorasick = None
 
-MAX_PATTERNS = 50_000
-CELL_ROWS = 8192
-
 
 def substring_filter(chunks, text):
     """``title, body`` of chunks whose body contains the text; the scan filters."""
     return chunks.filter(F.col("body").contains(F.lit(text))).select("title", "body")
 
 
-def substring_join(queries, chunks, max_patterns=MAX_PATTERNS):
-    """``query_id, id, title, body`` for every query text found in a body.
+def substring_matches(queries, chunks, block_bytes=sizing.BLOCK_BYTES):
+    """``query_id, id`` for every query text found in a body; bodies stay in the tasks.
 
-    All texts are searched in one pass over each body (one automaton per
+    All texts of a block are searched in one pass over each body (one automaton per
     task), so the cost follows the length of the corpus, not corpus * queries.
     Null texts and null bodies match nothing; an empty text matches each body.
     """
     asked = queries.select("query_id", "text").filter(F.col("text").isNotNull())
-    rows = chunks.select("id", "title", "body").filter(F.col("body").isNotNull())
-    schema = T.StructType([asked.schema["query_id"], *rows.schema.fields])
-    table = sizing.collect_bounded(asked, max_patterns)
-    if table is not None:
-        return rows.mapInArrow(lambda batches: _search(table, batches, schema.names), schema)
-    pairs = sizing.pair_blocks(
-        asked,
-        ["query_id", "text"],
-        sizing.blocks(asked.count(), max_patterns),
-        rows,
-        ["id"],
-        sizing.blocks(rows.count(), CELL_ROWS),
-    )
-    return pairs.applyInArrow(lambda q, c: _search_pair(q, c, schema.names), schema)
+    rows = chunks.select("id", "body").filter(F.col("body").isNotNull())
+    schema = T.StructType([asked.schema["query_id"], rows.schema["id"]])
+    length = asked.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    found = []
+    # an automaton takes some 50 bytes for each byte of its texts
+    for table, alone in sizing.query_blocks(asked, ["query_id", "text"], 64 + 50 * int(length), block_bytes):
+        got = rows.mapInArrow(lambda batches, table=table: _search(table, batches, schema.names), schema)
+        found.append(got if alone else sizing.stored(got, "substring"))
+    return reduce(lambda a, b: a.union(b), found)
+
+
+def substring_join(queries, chunks, block_bytes=sizing.BLOCK_BYTES):
+    """``query_id, id, title, body`` for every query text found in a body; ``id`` is a key of chunks."""
+    found = substring_matches(queries, chunks, block_bytes)
+    return found.join(chunks.select("id", "title", "body"), "id").select("query_id", "id", "title", "body")
 
 
 def match_counts(queries, matches):
@@ -98,13 +98,6 @@ def _search(table, batches, names):
         yield from found.to_batches(max_chunksize=10_000)
 
 
-def _search_pair(table, rows, names):
-    texts = table.column("text").to_pylist()
-    find = _finder(texts) if ahocorasick else None
-    return _found(table, texts, find, rows, names)
-
-
 def _found(table, texts, find, rows, names):
     who, where = _matches(texts, find, rows.column("body"))
-    columns = [table.column("query_id").take(who), *[rows.column(c).take(where) for c in names[1:]]]
-    return pa.table(columns, names=names)
+    return pa.table([table.column("query_id").take(who), rows.column("id").take(where)], names=names)

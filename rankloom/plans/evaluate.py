@@ -123,10 +123,7 @@ def timed_sweep(query_tokens, tokens, qrels, ann_grid=SWEEP_VALUES, candidate_gr
 def accuracy_frontier(bench, n_queries):
     """Pareto-optimal rows of ``label, time, ndcg10``.
 
-    A bench of the usual size is held as local rows, so that the runs behind it
-    are not repeated for each step of the frontier.
+    The bench is stored, so that the runs behind it are not repeated for each
+    step of the frontier.
     """
-    table = sizing.collect_bounded(bench, sizing.MAX_QUERY_ROWS)
-    if table is not None:
-        bench = bench.sparkSession.createDataFrame(table, schema=bench.schema)
-    return pareto(throughput(bench, n_queries))
+    return pareto(throughput(sizing.stored(bench, "bench"), n_queries))

@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from rankloom.functions.text import result_line
 from rankloom.operators.lexical import bm25_scores, bm25_scores_from_index, bm25_top, bm25_top_filled
 from rankloom.operators.ranking import ranked
-from rankloom.operators.substring import match_counts, substring_join
+from rankloom.operators.sizing import stored
+from rankloom.operators.substring import match_counts, substring_matches
 
 
 def bm25_search(queries, corpus, k=100, fill_zero=True, index=None, **options):
@@ -29,7 +30,8 @@ def bm25_run(found, system="bm25", config="default"):
 
 def substring_search(queries, chunks):
     """``(matches, counts)``: numbered result lines per query, and how many."""
-    matches = substring_join(queries, chunks)
-    listed = ranked(matches, ["query_id"], [F.asc("id")])
+    matches = stored(substring_matches(queries, chunks), "matches")
+    # ranked by id alone; bodies are joined to the numbered lines
+    listed = ranked(matches, ["query_id"], [F.asc("id")]).join(chunks.select("id", "title", "body"), "id")
     lines = listed.select("query_id", "rank", result_line(F.col("rank"), F.col("title"), F.col("body")).alias("line"))
     return lines, match_counts(queries, matches)

@@ -1,6 +1,7 @@
 """Session for local runs, and the shared scratch folder."""
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -26,11 +27,14 @@ def local_session(cpus=8, shuffle_partitions=None, memory="12g"):
 def scratch_dir(spark, name):
     """A new folder name under the folder the cluster shares.
 
-    The cluster names that folder in ``spark.checkpoint.dir``.  Only where the
-    setting is absent (tests, one machine) is a temporary folder taken.
+    The cluster names that folder in ``spark.checkpoint.dir``.  Where the setting is
+    absent, a session on one machine (tests) takes a temporary folder; on a cluster that
+    would lose rows, so there it is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="rankloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from rankloom.schema import QUERY_CAP
 
 
 def _line_order():
@@ -36,9 +35,9 @@ def load_collection(spark, folder, split="test"):
     return corpus, queries, judged
 
 
-def restrict_queries(queries, qrels, n=QUERY_CAP):
-    """The first n queries by ``pos``, and the judgments of these only."""
-    first = queries.orderBy("pos").limit(n)
+def restrict_queries(queries, qrels, n=None):
+    """The first n queries by ``pos`` (all without n), and the judgments of these only."""
+    first = queries if n is None else queries.orderBy("pos").limit(n)
     return first, qrels.join(first.select("query_id"), "query_id", "left_semi")
 
 

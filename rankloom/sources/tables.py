@@ -19,13 +19,13 @@ def write_tokens(tokens, path, buckets=256, mode="errorifexists"):
     """Token vectors stored by a hash bucket of the chunk, sorted inside files.
 
     A lookup or a join that carries ``chunk_bucket`` reads only the buckets it
-    needs.  The second hash key keeps one very long chunk from landing in one
-    task; its rows are still sorted by position inside each file.
+    needs.  Tasks are sized by their bytes (a rebalance, split by adaptive execution), so a
+    bucket that is large, or holds one very long chunk, takes several tasks and
+    files; rows are sorted inside each file.
     """
-    spread = F.floor(F.col("embedding_id") / 4096)
     (
         tokens.withColumn("chunk_bucket", bucket_of(F.col("chunk_id"), buckets))
-        .repartition("chunk_bucket", spread)
+        .hint("rebalance", "chunk_bucket")
         .sortWithinPartitions("chunk_bucket", "chunk_id", "embedding_id")
         .write.mode(mode)
         .partitionBy("chunk_bucket")

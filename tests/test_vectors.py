@@ -103,7 +103,7 @@ def test_nearest_equals_brute_force(spark, rng, bound, kind):
     tokens = tokens.unionByName(spark.createDataFrame([(999, 0, None)], TOKENS)).repartition(5)
     arows, asked = make_asked(spark, unit_rows(rng, 7), 2)
     got = nearest(
-        asked, tokens, 20, ("query_id", "q_pos"), ("chunk_id", "embedding_id"), kind=kind, max_query_rows=bound
+        asked, tokens, 20, ("query_id", "q_pos"), ("chunk_id", "embedding_id"), kind=kind, block_bytes=bound
     )
     got = rows_of(got.select("query_id", "q_pos", "rank", "chunk_id", "embedding_id"))
     want = []
@@ -126,7 +126,7 @@ def test_nearest_with_a_seed_pass(spark, rng, tmp_path, monkeypatch):
     from rankloom.operators import nearest as module
 
     real = module._seed
-    monkeypatch.setattr(module, "SEED_FILES", 1)
+    monkeypatch.setattr(module, "SEED_SPLITS", 0)
     monkeypatch.setattr(module, "_seed", lambda *a: floors.append(real(*a)) or floors[-1])
     assert rows_of(nearest(asked, stored, 30, **keys)) == plain
     assert np.isfinite(floors[0]).all()
@@ -156,7 +156,7 @@ def test_maxsim_both_ways_and_floor(spark, rng, bound):
     rows, tokens = make_tokens(spark, unit_rows(rng, 90), [i % 9 for i in range(90)])
     arows, asked = make_asked(spark, unit_rows(rng, 6), 3)
     wanted = spark.createDataFrame([(q, c) for q in (0, 1) for c in (2, 5)], "query_id long, chunk_id long")
-    got = maxsim.maxsim_scores(wanted, asked, tokens.repartition(4), 4, max_query_rows=bound)
+    got = maxsim.maxsim_scores(wanted, asked, tokens.repartition(4), 4, block_bytes=bound)
     for r in got.collect():
         own = np.array([v for c, _, v in rows if c == r.chunk_id], np.float64)
         m = np.array([v for q, _, v in arows if q == r.query_id], np.float64)
@@ -165,9 +165,9 @@ def test_maxsim_both_ways_and_floor(spark, rng, bound):
     against = asked.withColumn("embedding", F.transform("embedding", lambda x: -x))
     one = make_tokens(spark, [rows[0][2]], [2])[1]
     self_asked = spark.createDataFrame([(0, 0, [-float(x) for x in rows[0][2]])], ASKED)
-    plain = maxsim.maxsim_scores(wanted, self_asked, one, max_query_rows=bound).collect()
+    plain = maxsim.maxsim_scores(wanted, self_asked, one, block_bytes=bound).collect()
     assert plain[0].score == pytest.approx(-1, abs=1e-5)
-    floored = maxsim.maxsim_scores(wanted, self_asked, one, floor_zero=True, max_query_rows=bound).collect()
+    floored = maxsim.maxsim_scores(wanted, self_asked, one, floor_zero=True, block_bytes=bound).collect()
     assert floored[0].score == 0.0
     assert against.count() == 6
 
@@ -233,6 +233,6 @@ def test_cluster_lists(spark, rng, tmp_path):
         got = clusters.ivf_search(asked, stored, model, 10, nprobe).select("query_id", "chunk_id")
         recalls.append(len(exact & set(rows_of(got))) / len(exact))
     assert recalls == sorted(recalls) and recalls[-1] == 1.0
-    over_bound = clusters.ivf_search(asked, stored, model, 10, 3, max_query_rows=4)
+    over_bound = clusters.ivf_search(asked, stored, model, 10, 3, block_bytes=1000)
     under = clusters.ivf_search(asked, stored, model, 10, 3)
     assert rows_of(over_bound.select("query_id", "chunk_id")) == rows_of(under.select("query_id", "chunk_id"))
