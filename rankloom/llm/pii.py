@@ -7,6 +7,7 @@ rounds: a pattern is as trustworthy as the identifiers known so far are among ev
 that follows these two words anywhere in the corpus, plain words included; a token is as
 likely an identifier as the patterns it fills make it.  Tokens that end up over ``LEAST`` are
 identifiers the fixed patterns don't know, and all their occurrences become spans.
+What a pattern needs is a share of its kind's seeds, so that chance patterns don't grow with the corpus.
 
 DataFrame functions only.  Long texts are never cut; spans are counted in code points, ends exclusive.
 """
@@ -29,8 +30,9 @@ PATTERNS = {
 }
 #: What a text needs for a match of the kind.
 NEEDS = {"email": r"@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Different seed values a pattern needs.
+#: Different seed values a pattern needs, and which share of all of its kind.
 SEEDS = 3
+SHARE = 0.002
 #: Counts against a pattern that has been seen rarely.
 DOUBT = 2.0
 ROUNDS = 3
@@ -120,14 +122,17 @@ def _occurrences(rows, contexts):
     return seen.join(near, F.col("context") == F.col("c"), "left_semi").groupBy("context").agg(F.count("*").alias("total"))
 
 
-def discover(rows, found, seeds=SEEDS, doubt=DOUBT, rounds=ROUNDS, least=LEAST):
+def discover(rows, found, seeds=SEEDS, share=SHARE, doubt=DOUBT, rounds=ROUNDS, least=LEAST):
     """``(value, kind)``: identifiers that trusted patterns point to, from the candidates found in rows.
 
     A value that is a seed itself is not given again; a value that several kinds' patterns
     point to has the kind that is surer of it, the earlier one on a tie.
     """
     patterns = found.where("seed IS NOT NULL").groupBy("context", F.col("seed").alias("kind")).agg(F.count_distinct("value").alias("n"))
-    patterns = stored(patterns.where(F.col("n") >= seeds).select("context", "kind"), "pii-patterns")
+    kinds = found.where("seed IS NOT NULL").groupBy(F.col("seed").alias("k")).agg(F.count_distinct("value").alias("of_kind"))
+    patterns = patterns.join(F.broadcast(kinds), F.col("kind") == F.col("k"))  # a row for each of the four kinds
+    patterns = patterns.where((F.col("n") >= seeds) & (F.col("n") >= F.lit(share) * F.col("of_kind"))).select("context", "kind")
+    patterns = stored(patterns, "pii-patterns")
     totals = _occurrences(rows, patterns)
     totals = stored(patterns.join(totals, "context").select("context", "kind", "total"), "pii-totals")
     edges = found.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
