@@ -42,7 +42,7 @@ def texts(column):
     return [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
 
 
-def batches(rows, limit=4_000_000):
+def batches(rows, limit=1_000_000):
     """Consecutive slices ``(first, last)`` of texts with about that many bytes each."""
     first = total = 0
     for i, text in enumerate(rows):
