@@ -17,7 +17,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import pick
-from rankloom.operators.sizing import broadcast_if, stored
+from rankloom.operators.sizing import stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The same matches as the plain patterns, without trying again inside a run that has failed.
@@ -110,14 +110,15 @@ def candidates(rows):
     return out.withColumn("seed", _seed_kind(F.col("value"))).where("value != ''")
 
 
-def _occurrences(rows, contexts):
-    """``(context, total)``: how often each of the contexts stands before any token, in all of rows."""
+def _occurrences(rows):
+    """``(context, total)``: how often each context stands before any token, in all of rows.
+
+    Counted before any join: patterns grow with the corpus, and so would the rows that meet them.
+    """
     even = rows.select(_even(_tokens(F.col("text"))).alias("even"))
     follow = F.transform(F.sequence(F.lit(1), F.greatest(F.size("even") - 1, F.lit(1))), lambda i: _context(F.col("even"), i))
     seen = even.where(F.size("even") > 1).select(F.explode(follow).alias("context"))
-    near = contexts.select(F.col("context").alias("c")).distinct()
-    near = broadcast_if(near, near.count())
-    return seen.join(near, F.col("context") == F.col("c"), "left_semi").groupBy("context").agg(F.count("*").alias("total"))
+    return seen.groupBy("context").agg(F.count("*").alias("total"))
 
 
 def discover(rows, found, seeds=SEEDS, doubt=DOUBT, rounds=ROUNDS, least=LEAST):
@@ -128,7 +129,7 @@ def discover(rows, found, seeds=SEEDS, doubt=DOUBT, rounds=ROUNDS, least=LEAST):
     """
     patterns = found.where("seed IS NOT NULL").groupBy("context", F.col("seed").alias("kind")).agg(F.count_distinct("value").alias("n"))
     patterns = stored(patterns.where(F.col("n") >= seeds).select("context", "kind"), "pii-patterns")
-    totals = _occurrences(rows, patterns)
+    totals = _occurrences(rows)
     totals = stored(patterns.join(totals, "context").select("context", "kind", "total"), "pii-totals")
     edges = found.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
     edges = stored(edges.join(totals, "context").select("context", "kind", "total", "value", "seed", "n"), "pii-edges")
