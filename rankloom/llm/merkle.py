@@ -115,11 +115,14 @@ def _built(levels, schema, batches):
         yield closed()
 
 
-def witnesses(nodes, levels=_LEVELS):
+def witnesses(nodes, levels=_LEVELS, top=None):
     """Add ``witness`` (binary, 32 bytes for each sibling, lowest first) and ``root`` to nodes.
 
     nodes: ``grp`` string, ``pos`` and ``size`` longs (position in the group from 0, nodes in it),
     ``digest`` lowercase hex; other columns are kept.  A lone node is its own root.
+
+    top: turns ``grp, root`` into ``grp`` and the columns to add instead of root.  These are handed down from
+    block to block, so that no group, however large, meets in one task.
     """
     block = F.shiftright("pos", levels)
     schema = T.StructType([*nodes.schema.fields, T.StructField("witness", T.BinaryType()), T.StructField("block_root", T.StringType())])
@@ -128,17 +131,32 @@ def witnesses(nodes, levels=_LEVELS):
     roots = rows.filter("block_root is not null")
     rows = rows.drop("block_root")
     if roots.filter(F.col("size") > (1 << levels)).isEmpty():
-        roots = roots.select(F.col("grp").alias("__grp"), F.col("block_root").alias("root"))
+        # each group is one block here
+        roots = roots.select("grp", F.col("block_root").alias("root"))
+        roots = (top(roots) if top else roots).withColumnRenamed("grp", "__grp")
         return rows.join(roots, F.col("grp").eqNullSafe(F.col("__grp"))).drop("__grp")
     width = F.shiftright(F.col("size") + ((1 << levels) - 1), levels)
     above = roots.select("grp", block.alias("pos"), width.alias("size"), F.col("block_root").alias("digest"))
-    above = witnesses(above, levels).select(
-        F.col("grp").alias("__grp"), F.col("pos").alias("__block"), F.col("witness").alias("__more"), "root"
-    )
+    above = witnesses(above, levels, top).drop("size", "digest")
+    above = above.withColumnsRenamed({"grp": "__grp", "pos": "__block", "witness": "__more"})
     joined = rows.join(above, F.col("grp").eqNullSafe(F.col("__grp")) & (block == F.col("__block")))
     return joined.withColumn("witness", F.concat("witness", "__more")).drop("__grp", "__block", "__more")
 
 
+def _languages(levels, roots):
+    """The tree over the groups' roots: ``grp, subroot, top_pos, top_size, more, root``."""
+    tops = stored(roots.select(F.col("grp").alias("lang"), F.col("root").alias("digest")), "merkle-tops")
+    tops = witnesses(numbered(tops, [], ["lang"], size="size").withColumn("grp", F.lit("")), levels)
+    return tops.select(
+        F.col("lang").alias("grp"),
+        F.col("digest").alias("subroot"),
+        F.col("pos").alias("top_pos"),
+        F.col("size").alias("top_size"),
+        F.col("witness").alias("more"),
+        "root",
+    )
+
+
 def manifest(docs, levels=_LEVELS, tampered=None):
     """``doc_id, lang, leaf, witness, subroot, root, proof_sha256, folded_root, verified``, one row per row of docs.
 
@@ -160,15 +178,8 @@ def manifest(docs, levels=_LEVELS, tampered=None):
         F.monotonically_increasing_id().alias("row"),
     )
     leaves = numbered(stored(leaves, "merkle-leaves"), ["grp"], ["doc_id", "digest", "row"], size="size").drop("row")
-    rows = witnesses(leaves, levels).withColumnRenamed("root", "subroot")
-
-    tops = rows.filter("pos = 0").select(F.col("grp").alias("lang"), F.col("subroot").alias("digest"))
-    tops = numbered(stored(tops, "merkle-tops"), [], ["lang"], size="size").withColumn("grp", F.lit(""))
-    tops = witnesses(tops, levels).select(
-        "lang", F.col("pos").alias("top_pos"), F.col("size").alias("top_size"), F.col("witness").alias("more"), "root"
-    )
-    rows = rows.join(tops, F.col("grp").eqNullSafe(F.col("lang"))).drop("grp")
-    rows = rows.withColumn("witness", F.concat("witness", "more")).drop("more")
+    rows = witnesses(leaves, levels, partial(_languages, levels))
+    rows = rows.withColumn("witness", F.concat("witness", "more")).drop("more").withColumnRenamed("grp", "lang")
     schema = T.StructType([*rows.schema.fields, T.StructField("folded_root", T.StringType())])
     rows = rows.mapInArrow(partial(_folded, to_arrow_schema(schema)), schema)
     return rows.select(
