@@ -70,6 +70,15 @@ SCORED = f"""scored AS (SELECT query_id, doc_id, round(sum(qtf * idf * tf * ({K1
         / (tf + {K1} * (1 - {B} + {B} * length / mean_length))), 6) AS score
     FROM query_words JOIN idf USING (term) JOIN postings USING (term) JOIN lengths USING (doc_id), stats
     GROUP BY ALL)"""
+NEGATIVE = """few AS (SELECT doc_id, concat_ws(' ', CASE WHEN doc_id % 3 > 0 THEN 'most' END,
+        CASE WHEN doc_id % 10 > 0 THEN 'many' END, CASE WHEN doc_id % 100 > 0 THEN 'nearly every one' END, lang, CASE WHEN doc_id % 50 = 0 THEN 'few few' END) AS text
+    FROM documents),
+words AS (SELECT doc_id, unnest(string_split(text, ' ')) AS term FROM few),
+lengths AS (SELECT doc_id, count(*) AS length FROM words GROUP BY doc_id),
+query_words AS (SELECT query_id, term, count(*) AS qtf FROM (
+    SELECT item_id AS query_id, unnest(string_split(
+        ['most', 'most few', 'many most', 'few en', 'none', 'many many fr'][item_id % 6 + 1], ' ')) AS term
+    FROM benchmark) GROUP BY ALL)"""
 BM25_CTES = [WORDS, LENGTHS, POSTINGS, STATS, RAW_IDF, IDF, QUERY_WORDS, SCORED]
 
 
@@ -78,6 +87,8 @@ def _first(source, keys, order, k, rank="rank"):
         FROM {source}) WHERE {rank} <= {k}"""
 
 
+EVERYTHING = """everything AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM benchmark b
+    CROSS JOIN documents d LEFT JOIN scored s ON s.query_id = b.item_id AND s.doc_id = d.doc_id)"""
 BM25_TOP = "bm25 AS (" + _first("scored", "query_id", "score DESC, doc_id", 100) + ")"
 BM25 = [*BM25_CTES, BM25_TOP]
 
@@ -323,12 +334,29 @@ CHECKS = {
     "bm25_topk": _sql(*BM25, select="SELECT query_id, doc_id, score, rank FROM bm25"),
     "bm25_topk_zero_filled": _sql(
         *BM25_CTES,
-        """everything AS (SELECT b.item_id AS query_id, d.doc_id, coalesce(score, 0.0) AS score FROM benchmark b
-            CROSS JOIN documents d LEFT JOIN scored s ON s.query_id = b.item_id AND s.doc_id = d.doc_id)""",
+        EVERYTHING,
         select="SELECT query_id, doc_id, score, rank FROM ("
         + _first("everything", "query_id", "score DESC, doc_id", 1000)
         + ")",
     ),
+    "bm25_negative": _sql(
+        NEGATIVE,
+        POSTINGS,
+        STATS,
+        RAW_IDF,
+        IDF,
+        SCORED,
+        EVERYTHING,
+        select="SELECT query_id, doc_id, score, rank FROM (" + _first("everything", "query_id", "score DESC, doc_id", 37) + ")",
+    ),
+    "bm25_file_order": _sql(
+        *BM25_CTES,
+        CONTAINS,
+        EVERYTHING,
+        "listed AS (" + _first("everything", "query_id", "score DESC, doc_id DESC", 100) + ")",
+        select="""SELECT query_id::VARCHAR AS query_id, doc_id::VARCHAR AS doc_id, score, rank FROM listed
+            SEMI JOIN qrels USING (query_id)""",
+    ),
     "bm25_stored_index": _sql(*BM25, select="SELECT query_id, doc_id, score, rank FROM bm25"),
     "dot_scores": _sql(
         QUERY_VECTORS,
@@ -418,6 +446,15 @@ CHECKS = {
     "precision": _one_metric("precision", CUTS),
     "mrr": _one_metric("mrr", MRR_CUTS),
     "metric_table": _sql(*JUDGED, select=_table(CUTS, MRR_CUTS, "qrels")),
+    "metric_table_filled": _sql(
+        *BM25_CTES,
+        EVERYTHING,
+        "bm25 AS (" + _first("everything", "query_id", "score DESC, doc_id", 100) + ")",
+        BM25_RUN,
+        CONTAINS,
+        *_judged("bm25_run", "qrels", CUTS, MRR_CUTS),
+        select=_table(CUTS, MRR_CUTS, "qrels"),
+    ),
     "metric_lines": _sql(
         *JUDGED,
         "long AS (" + _table(CUTS, MRR_CUTS, "qrels").replace(", 6) AS value", ", 9) AS value") + ")",
@@ -474,7 +511,8 @@ CHECKS = {
     ),
     "log_records": """SELECT p_size || ', ' || p_partkey AS label, round(p_retailprice, 2) AS time,
         round(p_size / 50, 5) AS ndcg10 FROM part""",
-    "load_collection": "SELECT doc_id::VARCHAR AS doc_id, source AS title, text FROM documents",
+    "load_collection": """SELECT doc_id::VARCHAR AS doc_id, source AS title, text,
+        row_number() OVER (ORDER BY doc_id DESC) - 1 AS pos FROM documents""",
     "load_qrels": """SELECT item_id::VARCHAR AS query_id, doc_id::VARCHAR AS doc_id, 1 AS rel, b.text AS text
         FROM documents d JOIN benchmark b ON contains(d.text, b.text)""",
     "query_restriction": _sql(

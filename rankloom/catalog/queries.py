@@ -21,6 +21,7 @@ from rankloom.sources import benchlog, collection, documents, tables
 from rankloom.streaming import ingest as streaming
 
 N_ANN, N_CANDIDATES, K = 20, 40, 100
+NEGATIVE_ASKED = ["most", "most few", "many most", "few en", "none", "many many fr"]
 
 
 # ---- text ---------------------------------------------------------------
@@ -85,10 +86,34 @@ def bm25_topk_zero_filled(spark, sf):
     return lexical_plans.bm25_search(fx.queries(spark, sf), fx.corpus(spark, sf), 1000, fill_zero=True)
 
 
+def bm25_negative(spark, sf):
+    """Lists far shorter than the corpus where terms of most documents have negative weight.
+
+    The words are labels of documents; an unmatched document ranks above those that match such words only.
+    """
+    words = [
+        F.when(F.col("doc_id") % 3 > 0, F.lit("most")),
+        F.when(F.col("doc_id") % 10 > 0, F.lit("many")),
+        F.when(F.col("doc_id") % 100 > 0, F.lit("nearly every one")),
+        F.col("lang"),
+        F.when(F.col("doc_id") % 50 == 0, F.lit("few few")),
+    ]
+    corpus = fx.table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", *words).alias("text"))
+    asked = F.element_at(F.array(*[F.lit(t) for t in NEGATIVE_ASKED]), (F.col("item_id") % len(NEGATIVE_ASKED) + 1).cast("int"))
+    queries = fx.table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), asked.alias("text"))
+    return lexical_plans.bm25_search(queries, corpus, 37, fill_zero=True)
+
+
+def bm25_file_order(spark, sf):
+    """Zero-filled lists over a collection read from files, ties in the order of its lines."""
+    corpus, asked, _ = _collection(spark, sf)
+    return lexical_plans.bm25_search(asked.select("query_id", "text"), corpus, K)
+
+
 def bm25_stored_index(spark, sf):
     path = scratch_dir(spark, "index")
-    lexical.write_index(fx.corpus(spark, sf), path, buckets=8)
-    return lexical_plans.bm25_search(fx.queries(spark, sf), None, K, fill_zero=False, index=path, buckets=8)
+    lexical.write_index(fx.corpus(spark, sf), path)
+    return lexical_plans.bm25_search(fx.queries(spark, sf), None, K, fill_zero=False, index=path)
 
 
 # ---- dense --------------------------------------------------------------
@@ -272,6 +297,12 @@ def metric_table(spark, sf):
     return evaluate.evaluate(bm25_results(spark, sf), contains_qrels(spark, sf))
 
 
+def metric_table_filled(spark, sf):
+    """The same over lists that documents without a match complete."""
+    run = lexical_plans.bm25_run(lexical_plans.bm25_search(fx.queries(spark, sf), fx.corpus(spark, sf), K))
+    return evaluate.evaluate(run, contains_qrels(spark, sf))
+
+
 def metric_lines(spark, sf):
     """The table as printed lines with five decimals."""
     rows = evaluate.evaluate(bm25_results(spark, sf), contains_qrels(spark, sf), digits=None)
@@ -372,7 +403,8 @@ def log_records(spark, sf):
 def _collection(spark, sf):
     """The corpus, queries and judgments written in their usual files, read back."""
     path = scratch_dir(spark, "collection")
-    text = fx.corpus(spark, sf).select(F.col("doc_id").cast("string").alias("_id"), "title", "text")
+    text = fx.corpus(spark, sf).orderBy(F.desc("doc_id"))  # so that file order is not id order
+    text = text.select(F.col("doc_id").cast("string").alias("_id"), "title", "text")
     text.write.json(f"{path}/corpus.jsonl")
     asked = fx.queries(spark, sf).select(F.col("query_id").cast("string").alias("_id"), "text")
     asked.write.json(f"{path}/queries.jsonl")
@@ -564,6 +596,8 @@ QUERIES = {
     "idf_floor": idf_floor,
     "bm25_topk": bm25_topk,
     "bm25_topk_zero_filled": bm25_topk_zero_filled,
+    "bm25_negative": bm25_negative,
+    "bm25_file_order": bm25_file_order,
     "bm25_stored_index": bm25_stored_index,
     "dot_scores": dot_scores,
     "dense_topk": dense_topk,
@@ -590,6 +624,7 @@ QUERIES = {
     "precision": precision,
     "mrr": mrr,
     "metric_table": metric_table,
+    "metric_table_filled": metric_table_filled,
     "metric_lines": metric_lines,
     "graded_metrics": graded_metrics,
     "sweep_grid": sweep_grid,

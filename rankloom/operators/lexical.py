@@ -5,17 +5,20 @@
             idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean length))
 """
 
+from collections import Counter
+from functools import partial, reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rankloom.functions.text import tokenize
-from rankloom.functions.vectors import settle
-from rankloom.operators import sizing
-from rankloom.operators.ranking import ranked, top_k
+from rankloom.operators import nearest, postings as blocks, sizing
+from rankloom.operators.ranking import top_k
 from rankloom.schema import BM25_B, BM25_EPSILON, BM25_K1
 
-MAX_QUERY_TERMS = 200_000
-TERM_BUCKETS = 256
-
 
 def term_rows(texts, *keys):
     """One row per token.  The outer form of explode, with the empty row taken
@@ -36,25 +39,13 @@ def document_lengths(corpus):
 
 
 def vocabulary(corpus):
-    """``(terms, totals)`` from one pass and one shuffle.
+    """``(terms, totals)`` from one pass and one shuffle, stored in the scratch folder.
 
-    Each document gives its distinct terms and one empty string, which no token
-    is; that group counts the documents and sums their lengths.  ``terms``:
-    term, df.  ``totals``: one row n_docs, mean_length.
+    ``terms``: term, df.  ``totals``: one row n_docs, mean_length; none for an empty corpus.
     """
-    tokens = corpus.select(tokenize(F.col("text")).alias("tokens"))
-    marked = tokens.select(
-        F.size("tokens").alias("length"),
-        F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit("")))).alias("term"),
-    )
-    counted = marked.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"),
-        F.sum(F.when(F.col("term") == "", F.col("length"))).alias("length"),
-    )
-    # Both filters are on an aggregate, so they stay above the shuffle and the
-    # two results share it.
-    terms = counted.filter(F.col("length").isNull()).select("term", "df")
-    totals = counted.filter(F.col("length").isNotNull()).select(
+    counted = sizing.stored(blocks.term_counts(corpus), "terms")
+    terms = counted.filter(F.col("term") != "").select("term", "df")
+    totals = counted.filter(F.col("term") == "").select(
         F.col("df").alias("n_docs"), (F.col("length") / F.col("df")).alias("mean_length")
     )
     return terms, totals
@@ -74,127 +65,103 @@ def query_terms(queries):
     return rows.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def token_count(queries):
-    """Tokens in the query set: no less than its (query, term) pairs."""
-    return queries.agg(F.sum(F.size(tokenize(F.col("text"))))).first()[0] or 0
-
-
-def term_weight(k1, b, mean_length):
-    length_part = 1 - b + b * F.col("length") / mean_length
-    return F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length_part)
+def write_index(corpus, path, epsilon=BM25_EPSILON, order=None, mode="errorifexists"):
+    """Store statistics and postings once for many searches.
 
-
-def bm25_scores(queries, corpus, k1=BM25_K1, b=BM25_B, epsilon=BM25_EPSILON, digits=6):
-    """``query_id, doc_id, score`` of every document that shares a term.
-
-    The corpus tokens meet only the query vocabulary (a broadcast semi join),
-    are shuffled once by document, and stay there: counting terms and summing
-    scores both group by keys that contain the document.
-    """
-    terms, totals = vocabulary(corpus)
-    asked = query_terms(queries)
-    bound = token_count(queries)
-    asked = sizing.broadcast_if(asked, bound, MAX_QUERY_TERMS)
-    weights = idf(terms, totals, epsilon).join(asked, "term")
-    weights = weights.select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
-
-    wanted = sizing.broadcast_if(query_terms(queries).select("term").distinct(), bound, MAX_QUERY_TERMS)
-    found = (
-        term_rows(corpus, "doc_id")
-        .join(wanted, "term", "left_semi")
-        .repartition("doc_id")
-        .groupBy("doc_id", "length", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    mean_length = totals.select("mean_length").scalar()
-    return (
-        found.join(sizing.broadcast_if(weights, bound, MAX_QUERY_TERMS), "term")
-        .groupBy("query_id", "doc_id")
-        .agg(settle(F.sum(F.col("weight") * term_weight(k1, b, mean_length)), digits).alias("score"))
-    )
-
-
-def write_index(corpus, path, epsilon=BM25_EPSILON, buckets=TERM_BUCKETS, mode="errorifexists"):
-    """Store the statistics once for many searches: terms, totals, postings.
-
-    Postings are kept by a hash bucket of the term and sorted inside files; tasks are sized
-    by their bytes, so a term that most documents share takes several.
+    Postings are cut by document (``operators.postings``), so a search reads them in place and no term is a hot key.
     """
     terms, totals = vocabulary(corpus)
     totals.write.mode(mode).parquet(f"{path}/totals")
     totals = corpus.sparkSession.read.parquet(f"{path}/totals")
     idf(terms, totals, epsilon).write.mode(mode).parquet(f"{path}/terms")
-    rows = term_rows(corpus, "doc_id").filter(F.col("term").isNotNull())
-    counted = rows.groupBy("doc_id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
-    (
-        counted.withColumn("term_bucket", _term_bucket(buckets))
-        .hint("rebalance", "term_bucket")
-        .sortWithinPartitions("term_bucket", "term")
-        .write.mode(mode)
-        .partitionBy("term_bucket")
-        .parquet(f"{path}/postings")
-    )
+    blocks.write_blocks(corpus, f"{path}/blocks", order or corpus_order(corpus), mode)
 
 
 def stored_statistics(spark, path):
-    """``(terms, totals)`` of a stored index."""
+    """``(terms with idf, totals)`` of a stored index."""
     return spark.read.parquet(f"{path}/terms"), spark.read.parquet(f"{path}/totals")
 
 
-def _term_bucket(buckets):
-    return F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int")
+def corpus_order(corpus):
+    """The column that has the corpus order: ``pos`` where there is one, else the id."""
+    return "pos" if "pos" in corpus.columns else "doc_id"
 
 
-def bm25_scores_from_index(queries, path, k1=BM25_K1, b=BM25_B, buckets=TERM_BUCKETS, digits=6):
-    """Scores from a stored index; only buckets of query terms are read."""
-    spark = queries.sparkSession
-    asked = query_terms(queries)
-    bound = token_count(queries)
-    terms, totals = stored_statistics(spark, path)
-    weights = terms.join(sizing.broadcast_if(asked, bound, MAX_QUERY_TERMS), "term")
-    weights = weights.select(
-        "query_id", "term", _term_bucket(buckets).alias("term_bucket"), (F.col("qtf") * F.col("idf")).alias("weight")
-    )
-    mean_length = totals.select("mean_length").scalar()
-    found = spark.read.parquet(f"{path}/postings")
-    return (
-        found.join(sizing.broadcast_if(weights, bound, MAX_QUERY_TERMS), ["term_bucket", "term"])
-        .groupBy("query_id", "doc_id")
-        .agg(settle(F.sum(F.col("weight") * term_weight(k1, b, mean_length)), digits).alias("score"))
-    )
-
-
-def bm25_top(scores, k):
-    """``query_id, doc_id, score, rank``; ties in corpus order (doc_id)."""
-    return top_k(scores, ["query_id"], [F.desc("score"), F.asc("doc_id")], k)
+def bm25_best(
+    queries,
+    corpus=None,
+    k=100,
+    fill_zero=True,
+    index=None,
+    k1=BM25_K1,
+    b=BM25_B,
+    epsilon=BM25_EPSILON,
+    digits=6,
+    block_bytes=sizing.BLOCK_BYTES,
+):
+    """``query_id, doc_id, score, rank``: the k best documents; ties in corpus order.
 
+    fill_zero: every document takes part, one without a match with score 0, before negative scores; else only
+    documents that share a term.  index: folder of a stored index, which takes the corpus's place.
 
-def bm25_top_filled(queries, corpus, scores, k):
-    """Top k over all documents: those without a match have score 0.
-
-    A document that shares no term, or whose score comes to 0, is a zero
-    document; among these, corpus order decides.  A query needs zero documents
-    only if fewer than k score above 0, and then the first ``k + x`` documents
-    of the corpus hold enough of them, ``x`` being its number of documents with
-    another score.  Unless some scores are negative (most terms are in most
-    documents) these are all in the first k, and ``x < k``.
+    Each task scores its own documents and gives its k best.  On a corpus of many tasks a first pass over
+    about the square root of them gives each query a proven mark, below which nothing is given out.  A query
+    set too large for a task is searched in blocks.
     """
-    other = scores.filter(F.col("score") != 0)
-    top = sizing.stored(bm25_top(other, k), "top").drop("rank")
-    above = top.filter(F.col("score") > 0).groupBy("query_id").agg(F.count(F.lit(1)).alias("above"))
-    short = queries.select("query_id").join(above, "query_id", "left")
-    short = short.select("query_id", (F.lit(k) - F.coalesce("above", F.lit(0))).alias("missing")).filter("missing > 0")
-    known, depth = top, 2 * k
-    if not top.filter(F.col("score") < 0).isEmpty():
-        known = other
-        counted = other.groupBy("query_id").agg(F.count(F.lit(1)).alias("x")).join(short, "query_id", "left_semi")
-        depth = k + (counted.agg(F.max("x")).first()[0] or 0)
-    head = corpus.select("doc_id").orderBy("doc_id").limit(depth).withColumn("_all", F.lit(0))
-    head = ranked(head, ["_all"], [F.asc("doc_id")], "_at").drop("_all")
-    zero = (
-        short.select("query_id", "missing", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("_at"))
-        .join(head, "_at")
-        .join(known.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti")
+    if index is None:
+        counted, totals = vocabulary(corpus)
+        terms = sizing.stored(idf(counted, totals, epsilon), "idf")
+        rows = corpus.select("doc_id", F.col(corpus_order(corpus)).alias("key"), "text")
+        types = [rows.schema["doc_id"].dataType, rows.schema["key"].dataType]
+    else:
+        terms, totals = stored_statistics(queries.sparkSession, index)
+        rows = queries.sparkSession.read.parquet(f"{index}/blocks")
+        types = [rows.schema["docs"].dataType.elementType, rows.schema["keys"].dataType.elementType]
+    asked = queries.select("query_id", "text")
+    schema = T.StructType(
+        [
+            asked.schema["query_id"],
+            T.StructField("doc_id", types[0]),
+            T.StructField("key", types[1]),
+            T.StructField("score", T.DoubleType()),
+        ]
     )
-    zero = ranked(zero, ["query_id"], [F.asc("doc_id")], "_nth").filter(F.col("_nth") <= F.col("missing"))
-    return bm25_top(top.unionByName(zero.select("query_id", "doc_id", F.lit(0.0).alias("score"))), k)
+    total = totals.first()
+    size = asked.agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    order = [F.desc("score"), F.asc("key")]
+    found = []
+    for table, alone in sizing.query_blocks(asked, ["query_id", "text"], 100 + 20 * int(size) + 100 * k, block_bytes):
+        wanted, weights = _weights(table, terms)
+        make = partial(blocks.Scorer, weights, table.num_rows, k, total.mean_length if total else 1.0, k1, b, digits, fill_zero)
+        read = rows if index is None else rows.filter(F.col("term").isin(["", *wanted])) if len(wanted) <= 1000 else rows
+        task = partial(blocks.search_task, to_arrow_schema(schema), wanted, table.column("query_id").combine_chunks(), index is not None)
+        if nearest._splits(read) >= nearest.SEED_SPLITS:
+            make = partial(make, floor=_floor(read, task, make, table, schema, order, k))
+        best = top_k(read.mapInArrow(partial(task, make, False), schema), ["query_id"], order, k).drop("key")
+        found.append(best if alone else sizing.stored(best, "bm25"))
+    return reduce(lambda x, y: x.union(y), found)
+
+
+def _weights(table, terms):
+    """``(wanted, (term, query, weight))`` of a block of queries: terms by number, and arrays of numbers and weights.
+
+    Only the terms of the block are looked up; their number is bounded by the block's size.
+    """
+    counts = [Counter((text or "").split()) for text in table.column("text").to_pylist()]
+    wanted = sorted({t for some in counts for t in some})
+    spark = terms.sparkSession
+    asked = spark.createDataFrame(pa.table({"term": pa.array(wanted, pa.string())}))
+    known = terms.join(F.broadcast(asked), "term").select("term", "idf").toArrow()
+    idf_of = dict(zip(known.column("term").to_pylist(), known.column("idf").to_pylist(), strict=True))
+    wanted = {t: i for i, t in enumerate(t for t in wanted if t in idf_of)}
+    rows = [(wanted[t], q, n * idf_of[t]) for q, some in enumerate(counts) for t, n in some.items() if t in wanted]
+    term, query, weight = zip(*rows, strict=True) if rows else ((), (), ())
+    return wanted, (np.array(term, np.int64), np.array(query, np.int64), np.array(weight, np.float64))
+
+
+def _floor(rows, task, make, table, schema, order, k):
+    """For each query of a block the k-th best score that some of the tasks prove, or None."""
+    seeds = top_k(rows.mapInArrow(partial(task, make, True), schema), ["query_id"], order, k)
+    marks = seeds.groupBy("query_id").agg(F.min("score").alias("mark"), F.count("*").alias("n")).filter(F.col("n") >= k)
+    of = {r.query_id: r.mark for r in marks.collect()}  # at most one row for each query of the block
+    return [of.get(q) for q in table.column("query_id").to_pylist()]

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import result_line
-from rankloom.operators.lexical import bm25_scores, bm25_scores_from_index, bm25_top, bm25_top_filled
+from rankloom.operators.lexical import bm25_best
 from rankloom.operators.ranking import ranked
 from rankloom.operators.sizing import stored
 from rankloom.operators.substring import match_counts, substring_matches
@@ -15,11 +15,7 @@ def bm25_search(queries, corpus, k=100, fill_zero=True, index=None, **options):
     ``fill_zero``: documents without a match complete a list that is shorter
     than k.  ``index``: folder of a stored index of the same corpus.
     """
-    if index is None:
-        scores = bm25_scores(queries, corpus, **options)
-    else:
-        scores = bm25_scores_from_index(queries, index, **options)
-    return bm25_top_filled(queries, corpus, scores, k) if fill_zero else bm25_top(scores, k)
+    return bm25_best(queries, corpus, k, fill_zero, index, **options)
 
 
 def bm25_run(found, system="bm25", config="default"):

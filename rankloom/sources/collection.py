@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rankloom.operators.numbering import in_file_order
 
 
 def _line_order():
@@ -15,12 +16,14 @@ def load_collection(spark, folder, split="test"):
     corpus.jsonl and queries.jsonl have ``_id``; qrels/<split>.tsv has the
     columns query-id, corpus-id, score.  Queries come in the order in which the
     judgments first name them (``pos``); a query without judgments is left out.
+    The corpus is numbered in the order of its lines (``pos`` from 0), which breaks ties in searches.
     """
-    corpus = spark.read.schema("_id string, title string, text string").json(f"{folder}/corpus.jsonl")
+    corpus = in_file_order(spark.read.schema("_id string, title string, text string").json(f"{folder}/corpus.jsonl"))
     corpus = corpus.select(
         F.col("_id").alias("doc_id"),
         F.coalesce("title", F.lit("")).alias("title"),
         F.coalesce("text", F.lit("")).alias("text"),
+        "pos",
     )
     judged = spark.read.csv(
         f"{folder}/qrels/{split}.tsv",

@@ -1,11 +1,13 @@
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 from conftest import rows_of
 
 from rankloom.functions.text import tokenize
-from rankloom.operators import lexical, substring
+from rankloom.operators import lexical, nearest, postings, substring
 from rankloom.plans.lexical import bm25_search, substring_search
 
 DOCS = [
@@ -83,19 +85,56 @@ def test_bm25_empty_corpus(spark):
     assert bm25_search(queries, corpus.limit(0), 5, True).count() == 0
 
 
-def test_bm25_from_a_stored_index(spark, tmp_path):
+@pytest.mark.parametrize("docs_in_block", [2, 512])
+def test_bm25_from_a_stored_index(spark, tmp_path, monkeypatch, docs_in_block):
+    monkeypatch.setattr(postings, "BLOCK_DOCS", docs_in_block)
     queries, corpus = frames(spark)
     path = str(tmp_path / "index")
-    lexical.write_index(corpus, path, buckets=4)
+    lexical.write_index(corpus.repartition(2), path)
     for fill in (False, True):
-        got = bm25_search(queries, corpus, 5, fill, index=path, buckets=4)
-        close(rows_of(got), direct_bm25(DOCS, QUERIES, 5, fill))
+        for k in (1, 5):
+            got = bm25_search(queries, None, k, fill, index=path)
+            close(rows_of(got), direct_bm25(DOCS, QUERIES, k, fill))
 
 
-def test_bm25_over_the_broadcast_bound(spark, monkeypatch):
-    monkeypatch.setattr(lexical, "MAX_QUERY_TERMS", 2)
+@pytest.mark.parametrize("fill", [False, True])
+def test_bm25_in_query_blocks_with_seeds(spark, monkeypatch, fill):
+    monkeypatch.setattr(nearest, "SEED_SPLITS", 0)
     queries, corpus = frames(spark)
-    close(rows_of(bm25_search(queries, corpus, 5, False)), direct_bm25(DOCS, QUERIES, 5, False))
+    for k in (1, 3):
+        close(rows_of(bm25_search(queries, corpus.repartition(5), k, fill, block_bytes=700)), direct_bm25(DOCS, QUERIES, k, fill))
+
+
+@pytest.mark.parametrize("seeds", [0, 256])
+def test_bm25_ties_and_blocks(spark, monkeypatch, seeds):
+    """Many copies, blocks of three documents, lists of random words, several tasks."""
+    monkeypatch.setattr(nearest, "SEED_SPLITS", seeds)
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 9)))) for i in range(150)]
+    docs += [(i, "a b") for i in range(150, 300)]
+    asked = [(i, " ".join(rng.choice("abcdefgxy") for _ in range(rng.randint(0, 4)))) for i in range(12)]
+    queries, corpus = frames(spark, docs, asked)
+    for k in (4, 40, 400):
+        close(rows_of(bm25_search(queries, corpus.repartition(7), k, True)), direct_bm25(docs, asked, k, True))
+        close(rows_of(bm25_search(queries, corpus.repartition(7), k, False)), direct_bm25(docs, asked, k, False))
+
+
+def test_bounds_skip_blocks():
+    """A block whose bounds cannot reach the k-th best score is ruled out, others are not."""
+    weights = (np.array([0, 1]), np.array([0, 1]), np.array([2.0, -1.0]))
+    scorer = postings.Scorer(weights, 2, 1, 4.0, 1.5, 0.75, 6, True)
+    first = postings.Block([1, 2], [1, 2], [4, 4], np.array([0]), np.array([0]), np.array([9]))
+    scorer.add(first)
+    assert scorer.bar[0] > 0 and scorer.bar[1] == 0
+    assert scorer.asking(np.array([0]), np.array([1.0]), np.array([4.0])).tolist() == [False, True]
+    assert scorer.asking(np.array([0, 1]), np.array([20.0, 1.0]), np.array([1.0, 4.0])).tolist() == [True, True]
+
+
+def test_corpus_order_breaks_ties(spark):
+    queries, corpus = frames(spark, [(0, "x"), (1, "x"), (2, "y"), (3, "y"), (4, "y")], [(0, "x"), (1, "none")])
+    backwards = corpus.withColumn("pos", -corpus["doc_id"])
+    got = bm25_search(queries, backwards, 3, True).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r.doc_id) for r in got] == [(0, 1), (0, 0), (0, 4), (1, 4), (1, 3), (1, 2)]
 
 
 CHUNKS = [(1, "t1", "the Cat sat"), (2, "t2", "cat cat"), (3, None, None), (4, "t4", ""), (5, "t5", "abc.*x")]
