@@ -20,6 +20,10 @@ from rankloom.operators.ranking import top_k
 from rankloom.schema import BM25_B, BM25_EPSILON, BM25_K1
 
 
+#: Terms that are written into a filter of the scan; more are looked up in a broadcast table.
+MAX_PUSHED = 500
+
+
 def term_rows(texts, *keys):
     """One row per token.  The outer form of explode, with the empty row taken
     out by the caller's join or here: the plain form makes Spark test the size
@@ -110,8 +114,8 @@ def bm25_best(
     """
     if index is None:
         counted, totals = vocabulary(corpus)
-        terms = sizing.stored(idf(counted, totals, epsilon), "idf")
-        rows = corpus.select("doc_id", F.col(corpus_order(corpus)).alias("key"), "text")
+        terms = idf(counted, totals, epsilon)
+        rows = sizing.spread(corpus.select("doc_id", F.col(corpus_order(corpus)).alias("key"), "text"))
         types = [rows.schema["doc_id"].dataType, rows.schema["key"].dataType]
     else:
         terms, totals = stored_statistics(queries.sparkSession, index)
@@ -133,7 +137,7 @@ def bm25_best(
     for table, alone in sizing.query_blocks(asked, ["query_id", "text"], 100 + 20 * int(size) + 100 * k, block_bytes):
         wanted, weights = _weights(table, terms)
         make = partial(blocks.Scorer, weights, table.num_rows, k, total.mean_length if total else 1.0, k1, b, digits, fill_zero)
-        read = rows if index is None else rows.filter(F.col("term").isin(["", *wanted])) if len(wanted) <= 1000 else rows
+        read = rows if index is None else _with_terms(rows, wanted)
         task = partial(blocks.search_task, to_arrow_schema(schema), wanted, table.column("query_id").combine_chunks(), index is not None)
         if nearest._splits(read) >= nearest.SEED_SPLITS:
             make = partial(make, floor=_floor(read, task, make, table, schema, order, k))
@@ -142,6 +146,14 @@ def bm25_best(
     return reduce(lambda x, y: x.union(y), found)
 
 
+def _with_terms(rows, wanted):
+    """The rows of stored blocks that a search needs, in their order; few terms also prune pages of the files."""
+    if len(wanted) <= MAX_PUSHED:
+        return rows.filter(F.col("term").isin(["", *wanted]))
+    asked = rows.sparkSession.createDataFrame(pa.table({"term": pa.array(["", *wanted], pa.string())}))
+    return rows.join(F.broadcast(asked), "term", "left_semi").select(*rows.columns)
+
+
 def _weights(table, terms):
     """``(wanted, (term, query, weight))`` of a block of queries: terms by number, and arrays of numbers and weights.
 

@@ -15,11 +15,14 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from rankloom.operators.sizing import spread
+
 #: Documents of a block, and tokens after which a block is closed early.
 BLOCK_DOCS, BLOCK_TOKENS = 512, 1_000_000
 #: Distinct terms that a task counts before it hands them on.
@@ -35,7 +38,7 @@ def term_counts(corpus):
 
     Tasks count first and hand on partial counts, so what is shuffled is distinct terms, not tokens.
     """
-    found = corpus.select("text").mapInArrow(_count_terms, _COUNTED)
+    found = spread(corpus.select("text")).mapInArrow(_count_terms, _COUNTED)
     return found.groupBy("term").agg(F.sum("df").alias("df"), F.sum("length").alias("length"))
 
 
@@ -130,68 +133,65 @@ def write_blocks(corpus, path, order="doc_id", mode="errorifexists"):
     fields = [("block", T.LongType()), ("term", T.StringType()), ("max_tf", T.IntegerType()), ("min_length", T.IntegerType())]
     fields += [("at", ints), ("tf", ints), ("docs", T.ArrayType(doc)), ("keys", T.ArrayType(key)), ("lengths", ints)]
     schema = T.StructType([T.StructField(*f) for f in fields])
-    built = rows.mapInArrow(partial(_block_rows, to_arrow_schema(schema)), schema)
+    built = spread(rows).mapInArrow(partial(_block_rows, to_arrow_schema(schema)), schema)
     built.write.mode(mode).option("parquet.block.size", 1 << 40).option("maxRecordsPerFile", 0).parquet(path)
 
 
 def _block_rows(schema, batches):
     first = TaskContext.get().partitionId() << 32
     for i, (block, names) in enumerate(_text_blocks(None, batches)):
-        starts = np.searchsorted(block.term, np.arange(len(names) + 1))
-        n = len(names)
-        at, tf = (np.split(x.astype(np.int32), starts[1:-1]) if n else [] for x in (block.at, block.tf))
+        starts = np.searchsorted(block.term, np.arange(len(names) + 1)).astype(np.int32)
         lengths = block.length.astype(np.int32)
-        head = {
-            "block": [first + i],
-            "term": [""],
-            "max_tf": [0],
-            "min_length": [0],
-            "at": [None],
-            "tf": [None],
-            "docs": [block.docs],
-            "keys": [block.keys],
-            "lengths": [lengths.tolist()],
-        }
-        yield pa.RecordBatch.from_pydict(head, schema=schema)
-        if n:
-            largest = np.maximum.reduceat(block.tf, starts[:-1])
-            smallest = np.minimum.reduceat(lengths[block.at], starts[:-1])
-            body = {
-                "block": [first + i] * n,
-                "term": names,
-                "max_tf": largest.tolist(),
-                "min_length": smallest.tolist(),
-                "at": at,
-                "tf": tf,
-                "docs": [None] * n,
-                "keys": [None] * n,
-                "lengths": [None] * n,
-            }
-            yield pa.RecordBatch.from_pydict(body, schema=schema)
+        head = [[first + i], [""], [0], [0], [None], [None], [block.docs], [block.keys], [lengths.tolist()]]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(head, schema.types, strict=True)], schema=schema)
+        if not names:
+            continue
+        n = len(names)
+        at, tf = (pa.ListArray.from_arrays(pa.array(starts), pa.array(x.astype(np.int32))) for x in (block.at, block.tf))
+        largest = np.maximum.reduceat(block.tf, starts[:-1]).astype(np.int32)
+        smallest = np.minimum.reduceat(lengths[block.at], starts[:-1])
+        columns = [np.full(n, first + i), names, largest, smallest]
+        columns = [pa.array(c, t) for c, t in zip(columns, schema.types, strict=False)]
+        columns += [at.cast(schema.types[4]), tf.cast(schema.types[5]), *[pa.nulls(n, t) for t in schema.types[6:]]]
+        yield from _slices(pa.RecordBatch.from_arrays(columns, schema=schema))
+
+
+def _slices(batch, rows=20_000):
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
 
 
 def _stored_blocks(wanted, batches):
-    """``(block, terms, max_tf, min_length, starts)`` from rows of ``write_blocks``, the wanted terms among them."""
-    head, rows = None, []
+    """``(block, terms, max_tf, min_length)`` from rows of ``write_blocks``, the wanted terms among them."""
+    names = pa.array(list(wanted), pa.string())
+    head, parts = None, []
 
     def closed():
-        at = np.concatenate([np.asarray(r[4], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-        tf = np.concatenate([np.asarray(r[5], np.int64) for r in rows]) if rows else np.zeros(0, np.int64)
-        number = np.array([wanted[r[1]] for r in rows], dtype=np.int64)
-        term = np.repeat(number, [len(r[4]) for r in rows])
-        block = Block(head[6], head[7], head[8], term, at, tf)
-        return block, number, np.array([r[2] for r in rows], np.float64), np.array([r[3] for r in rows], np.float64)
+        number, count, large, small, at, tf = (np.concatenate(c) for c in zip(*parts, strict=True))
+        order = np.argsort(np.repeat(number, count), kind="stable")
+        block = Block(*head, np.repeat(number, count)[order], at[order], tf[order])
+        return block, number, large.astype(np.float64), small.astype(np.float64)
 
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if row[1] == "":
+        terms = batch.column(1)
+        number = pc.index_in(terms, names).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        heads = np.flatnonzero(pc.equal(terms, "").to_numpy(zero_copy_only=False))
+        for lo, hi in zip([0, *heads.tolist()], [*heads.tolist(), batch.num_rows], strict=True):
+            if lo == hi:
+                continue
+            rows = batch.slice(lo, hi - lo)
+            if terms[lo].as_py() == "":
                 if head is not None:
                     yield closed()
-                head, rows = row, []
-            elif head is None or head[0] != row[0]:
+                key = rows.column(0)[0].as_py()
+                head, parts = [rows.column(c)[0].as_py() for c in (6, 7, 8)], []
+            elif head is None or not pc.all(pc.equal(rows.column(0), key)).as_py():
                 raise ValueError("a block of the index is divided; write it again without changing its files")
-            elif row[1] in wanted:
-                rows.append(row)
+            here = number[lo:hi]
+            rows = rows.filter(pa.array(here >= 0))
+            at, tf = rows.column(4), rows.column(5)
+            columns = [pc.list_value_length(at), rows.column(2), rows.column(3), at.flatten(), tf.flatten()]
+            parts.append((here[here >= 0], *[c.to_numpy(zero_copy_only=False).astype(np.int64) for c in columns]))
     if head is not None:
         yield closed()
 

@@ -32,6 +32,15 @@ def broadcast_if(df, row_bound, max_rows=MAX_BROADCAST_ROWS):
     return df
 
 
+def spread(df):
+    """The rows over all cores, where a small input has too few tasks for them.
+
+    A scan of many tasks stays as it is, without an exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df
+
+
 def query_blocks(df, keys, row_bytes, block_bytes=BLOCK_BYTES):
     """``(table, alone)``: a query set as Arrow tables of about block_bytes each, one after another.
 
