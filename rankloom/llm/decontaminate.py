@@ -8,12 +8,16 @@ its slots are then read again: a value of the item must stand for one value of t
 throughout, and the reverse.
 
 All rules look at one whitespace-separated token at a time.  A capitalised word is a
-name, whatever its place; a token without letters or digits is no word.
+name, whatever its place; a token without letters or digits is no word.  An item of which
+no run has words enough that are no placeholders is looked for as it stands: by runs of its raw tokens.
 
-DataFrame functions only.  The benchmark's hashes go to every task if they are few;
-else both sides are shuffled by hash.
+DataFrame functions only.  A bit for each of the benchmark's hashes decides in the scan which places of a
+text go on, so that only these become rows.  The benchmark's hashes go to every task if they are few; else
+both sides are shuffled by hash.
 """
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import pick
@@ -36,37 +40,118 @@ UNITS = (
     "dollar dollars euro euros cent cents percent degrees"
 ).split()
 _SPACE = r"[\x20\x09-\x0D]+"
+#: Numbers of 64 bits in the table that screens places: 16 bits for each hash, up to this many numbers.
+MOST_BITS = 1 << 16
 
 
 def template(text):
-    """The text with placeholders, in lower case and without punctuation; whitespace stays."""
+    """The text with placeholders for names and numbers, in lower case and without punctuation; whitespace stays."""
     out = F.regexp_replace(text, f"[{NAME}-{UNIT}]", "")
     out = F.regexp_replace(out, r"(?<![\p{L}\p{M}\p{N}])\p{Lu}[\p{L}\p{M}]*+(?:['’-][\p{L}\p{M}]++)*+", NAME)
     out = F.regexp_replace(F.lower(out), r"[$€£]?\p{Nd}++(?:[.,:/]\p{Nd}++)*+%?", NUMBER)
-    out = F.regexp_replace(out, r"(?<![\p{L}\p{M}])(?:" + "|".join(UNITS) + r")(?![\p{L}\p{M}])", UNIT)
     return F.regexp_replace(out, r"[^\p{L}\p{M}\p{N}\x20\x09-\x0D" + NAME + "-" + UNIT + "]++", "")
 
 
+def _typed(word):
+    """A template word with a placeholder for a unit, alone or behind a number."""
+    rest = F.when(F.startswith(word, F.lit(NUMBER)), F.substring(word, 2, 1 << 20))
+    return F.when(word.isin(UNITS), F.lit(UNIT)).when(rest.isin(UNITS), F.lit(NUMBER + UNIT)).otherwise(word)
+
+
 def words(text):
     """The template words of a text, null like empty."""
-    return F.array_remove(F.split(F.coalesce(template(text), F.lit("")), _SPACE), "")
+    return F.transform(F.array_remove(F.split(F.coalesce(template(text), F.lit("")), _SPACE), ""), _typed)
 
 
 def _tokens(text):
     """Raw tokens that have a template word, each with it."""
     raw = F.array_remove(F.split(F.coalesce(text, F.lit("")), _SPACE), "")
-    both = F.transform(raw, lambda t: F.struct(t.alias("raw"), F.regexp_replace(template(t), _SPACE, "").alias("word")))
+    both = F.transform(raw, lambda t: F.struct(t.alias("raw"), _typed(F.regexp_replace(template(t), _SPACE, "")).alias("word")))
     return F.filter(both, lambda x: x["word"] != "")
 
 
-def _windows(width):
-    """``(w, at, h)`` of each run of w = width words of the column ``words``; an empty list for too few words."""
-    last = F.size("words") - F.lit(width)
-    runs = F.transform(
-        F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-        lambda i: F.struct(F.lit(width).alias("w"), i.alias("at"), F.xxhash64(F.slice(F.col("words"), i + 1, width)).alias("h")),
-    )
-    return F.slice(runs, 1, F.greatest(last + 1, F.lit(0)))
+def _run_hashes(df, keys, widths):
+    """``(*keys, h<width>)``: for each width the hashes of all runs of that many words of the column ``words``.
+
+    Words are hashed once; two neighbouring runs make one of their joint length.  Each step is a column of its own
+    (one element exploded), as an expression used twice would be computed twice.
+    """
+    df = df.select(*keys, F.explode(F.array(F.transform("words", lambda w: F.xxhash64(w)))).alias("h1"))
+
+    def joined(left, right):
+        # a run of `left` words and the run of `right` words after it
+        n = F.greatest(F.size(f"h{right}") - left, F.lit(0))
+        pairs = F.zip_with(F.slice(f"h{left}", 1, n), F.slice(f"h{right}", left + 1, n), lambda x, y: F.xxhash64(x, y))
+        return F.explode(F.array(pairs))
+
+    have = {1}
+
+    def with_width(df, width):
+        if width in have:
+            return df
+        left = 1 << (width.bit_length() - 1)
+        if left == width:
+            left //= 2
+        df = with_width(with_width(df, left), width - left)
+        have.add(width)
+        return df.select("*", joined(left, width - left).alias(f"h{width}"))
+
+    for width in widths:
+        df = with_width(df, width)
+    return df.select(*keys, *[f"h{w}" for w in widths])
+
+
+def _places(df, keys, widths, bits=None):
+    """``(*keys, w, at, h)``: a row for each run of w words at place at; with bits only for those they let pass."""
+    hashes = _run_hashes(df, keys, widths)
+
+    def one(width):
+        def run(h, i):
+            row = F.struct(F.lit(width).alias("w"), i.alias("at"), h.alias("h"))
+            return row if bits is None else F.when(bits(h), row)
+
+        found = F.transform(f"h{width}", run)
+        return found if bits is None else F.filter(found, lambda x: x.isNotNull())
+
+    each = [one(w) for w in widths]
+    return hashes.select(*keys, F.explode(F.concat(*each)).alias("r")).select(*keys, "r.w", "r.at", "r.h")
+
+
+def _screen(runs, n):
+    """A condition on a hash that holds for all hashes in ``runs`` and for few others."""
+    log = 4
+    while (1 << log) * 4 < n and 1 << log < MOST_BITS:
+        log += 1
+    cell, bit = F.shiftrightunsigned("item_h", 64 - log), F.pmod("item_h", F.lit(64)).cast("int")
+    marked = runs.select(cell.alias("cell"), bit.alias("bit")).distinct().groupBy("cell")
+    table = [0] * (1 << log)
+    for row in marked.agg(F.expr("bit_or(shiftleft(1L, bit))").alias("word")).collect():  # at most MOST_BITS rows
+        table[row.cell] = row.word
+    table = F.from_json(F.lit("[" + ",".join(map(str, table)) + "]"), "array<bigint>")
+    return lambda h: F.getbit(F.get(table, F.shiftrightunsigned(h, 64 - log).cast("int")), F.pmod(h, F.lit(64)).cast("int")) == 1
+
+
+def _matches(ready, runs):
+    """Runs of the column ``words`` of ready that are runs of an item, with the distance of their places."""
+    widths = sorted(r[0] for r in runs.select("item_w").distinct().collect())  # at most `window` numbers
+    if not widths:
+        return None
+    n = runs.count()
+    found = _places(ready, ["doc_id", "row_key"], widths, _screen(runs, n))
+    near = broadcast_if(runs, n)
+    found = found.join(near, (F.col("h") == F.col("item_h")) & (F.col("w") == F.col("item_w")))
+    return found.select("doc_id", "row_key", "item_id", "n", "w", "item_at", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
+
+
+def _item_runs(items, window):
+    """``item_id, n, words, item_w, item_at, item_h``: runs of an item's words; a short item is one run."""
+    keys = ["item_id", "n", "words"]
+    out = None
+    for width in sorted(r[0] for r in items.select(F.least("n", F.lit(window))).distinct().collect()):
+        own = items.where((F.col("n") >= width) if width == window else (F.col("n") == width))
+        own = _places(own, keys, [width]).select(*keys, F.col("w").alias("item_w"), F.col("at").alias("item_at"), F.col("h").alias("item_h"))
+        out = own if out is None else out.union(own)
+    return out
 
 
 def _slots(df, keys):
@@ -86,40 +171,43 @@ def contaminated(docs, benchmark, window=WINDOW, coverage=COVERAGE, consistent=C
     ``verbatim`` (all slot values are the item's), ``place`` (the template word it starts at).
 
     Null texts are empty and match nothing.  An item with fewer words than the window is one
-    window of its own length.  Items in which no window has enough literal words say too little
-    to be searched for.  Rows that repeat doc_id and text give one result; an item that
+    window of its own length.  An item without a window that has enough literal words is
+    found only as it stands: its windows are of raw tokens, which must be equal, and ``place`` counts raw tokens.
+    Rows that repeat doc_id and text give one result; an item that
     occurs twice in a document gives its best occurrence.  Empty tables give an empty result.
     """
     spark = docs.sparkSession
-    items = pick(benchmark, item_id="item_id", text="text").where("item_id IS NOT NULL").select("item_id", "text", words(F.col("text")).alias("words"))
-    items = items.select("item_id", "text", "words", F.size("words").alias("n")).where("n > 0").distinct()
-    items = stored(items, "template-items")
-    widths = sorted(r[0] for r in items.select(F.least("n", F.lit(window)).alias("w")).distinct().collect())  # at most `window` numbers
+    raw = F.array_remove(F.split(F.col("text"), _SPACE), "")
+    items = pick(benchmark, item_id="item_id", text="text").where("item_id IS NOT NULL AND text IS NOT NULL")
+    items = items.select("item_id", "text", words(F.col("text")).alias("words"), raw.alias("raw")).where(F.size("raw") > 0).distinct()
+    items = stored(items.select("*", F.size("words").alias("n")), "template-items")
     empty = spark.createDataFrame([], "doc_id long, item_id long, row_key long, covered double, slots long, consistency double, verbatim boolean, place int")
-    if not widths:
+    if items.isEmpty():
         return empty
 
-    def told(width):
-        """Whether a window has literal words enough, or none but literals in a short item."""
-        plain = F.filter(F.slice(F.col("words"), F.col("at") + 1, width), lambda w: ~w.rlike(f"[{NAME}{NUMBER}{UNIT}]"))
-        return F.size(plain) >= min(literals, width)
+    plain = F.filter(F.slice(F.col("words"), F.col("item_at") + 1, F.col("item_w")), lambda w: ~w.rlike(f"[{NAME}{NUMBER}{UNIT}]"))
+    told = F.size(plain) >= F.least(F.lit(literals), F.col("item_w"))
+    worded = items.where("n > 0")
+    runs = _item_runs(worded, window)
+    columns = ["item_id", "n", "item_w", "item_at", "item_h"]
+    runs = stored(runs.where(told).select("words", *columns), "template-windows") if runs is not None else None
+    bare = items
+    if runs is not None:
+        bare = items.join(runs.select("item_id", "words").distinct(), ["item_id", "words"], "left_anti")
+    bare = stored(bare.select("item_id", F.col("raw").alias("words"), F.size("raw").alias("n")), "template-bare")
 
-    runs = None
-    for width in widths:
-        own = items.where((F.col("n") >= width) if width == window else (F.col("n") == width))
-        own = own.select("item_id", "n", "words", F.explode(_windows(width)).alias("r")).select("item_id", "n", "words", "r.at", "r.h")
-        own = own.where(told(width)).select("item_id", "n", F.lit(width).alias("w"), F.col("at").alias("item_at"), F.col("h").alias("item_h"))
-        runs = own if runs is None else runs.union(own)
-    runs = stored(runs, "template-windows")
     rows = pick(docs, doc_id="doc_id", text="text").where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.withColumn("row_key", F.xxhash64("doc_id", "text"))
-    ready = rows.select("doc_id", "row_key", words(F.col("text")).alias("words"))
-    windows = [_windows(w) for w in widths]
-    found = ready.select("doc_id", "row_key", F.explode(F.flatten(F.array(*windows)) if len(windows) > 1 else windows[0]).alias("r")).select("doc_id", "row_key", "r.w", "r.at", "r.h")
-    near = broadcast_if(runs.withColumnRenamed("w", "item_w"), runs.count())
-    found = found.join(near, (F.col("h") == F.col("item_h")) & (F.col("w") == F.col("item_w")))
-    found = found.select("doc_id", "row_key", "item_id", "n", "w", "item_at", (F.col("at") - F.col("item_at")).alias("shift")).distinct()
-    found = stored(found, "template-matches")
+    found = []
+    if runs is not None:
+        found.append(_matches(rows.select("doc_id", "row_key", words(F.col("text")).alias("words")), runs.select(*columns)))
+    if not bare.isEmpty():
+        exact = stored(_item_runs(bare, window).select(*columns), "template-windows")
+        found.append(_matches(rows.select("doc_id", "row_key", raw.alias("words")), exact))
+    found = [f for f in found if f is not None]
+    if not found:
+        return empty
+    found = stored(reduce(lambda x, y: x.union(y), found), "template-matches")
 
     # one occurrence: windows on one diagonal, which cover a word once
     one = ["doc_id", "row_key", "item_id", "shift"]
@@ -136,7 +224,7 @@ def contaminated(docs, benchmark, window=WINDOW, coverage=COVERAGE, consistent=C
     # the values at the occurrence's slots, item and document side by side
     inside = found.join(spots.select(*(F.col(c).alias(f"s_{c}") for c in one)), [F.col(c).eqNullSafe(F.col(f"s_{c}")) for c in one], "left_semi")
     inside = inside.select(*one, F.explode(F.sequence(F.col("item_at"), F.col("item_at") + F.col("w") - 1)).alias("item_place")).distinct()
-    item_slots = _slots(items, ["item_id"]).select(F.col("item_id").alias("i"), F.col("place").alias("at"), F.col("slot").alias("item_slot"))
+    item_slots = _slots(items.join(bare.select("item_id"), "item_id", "left_anti"), ["item_id"]).select(F.col("item_id").alias("i"), F.col("place").alias("at"), F.col("slot").alias("item_slot"))
     asked = inside.join(item_slots, (F.col("item_id") == F.col("i")) & (F.col("item_place") == F.col("at")))
     asked = asked.select(*one, (F.col("item_place") + F.col("shift")).alias("place"), "item_slot")
     suspects = rows.join(spots.select(F.col("row_key").alias("r")).distinct(), F.col("row_key") == F.col("r"), "left_semi").dropDuplicates(["row_key"])
