@@ -146,3 +146,20 @@ FROM placed p JOIN subroots s USING (g) JOIN above a USING (r) JOIN tops t ON t.
 WHERE a.size = 1"""
 
 CHECKS = {"op12_merkle": _MERKLE}
+
+#: Queries that SQL cannot state, with the tests that hold them against brute force, a round trip or held-out accuracy.
+TESTED = {
+    "op1_pii": ["test_methods.py::test_pii_base", "test_methods.py::test_pii_discovers"],
+    "op2_passages": ["test_methods.py::test_passages", "test_methods.py::test_compact_windows"],
+    "op3_lm": ["test_methods.py::test_lm", "test_methods.py::test_lm_normalised", "test_methods.py::test_lm_learns"],
+    "op4_minhash": ["test_methods.py::test_minhash", "test_methods.py::test_near_duplicates"],
+    "op5_decontaminate": ["test_decontaminate.py::test_against_brute_force", "test_methods.py::test_decontaminate"],
+    "op6_sharding": ["test_methods.py::test_sharding"],
+    "op7_mixing": ["test_methods.py::test_mixing"],
+    "op8_langid": ["test_methods.py::test_langid", "test_methods.py::test_langid_bundle"],
+    "op9_quality": ["test_methods.py::test_quality", "test_methods.py::test_site_rates"],
+    "op10_simhash": ["test_methods.py::test_simhash_links", "test_methods.py::test_simhash_fingerprint"],
+    "op11_pieces": ["test_pieces.py::test_whole_table", "test_pieces.py::test_digests"],
+    "op13_spelling": ["test_spelling.py::test_whole_table", "test_spelling.py::test_made_up_texts"],
+    "pipeline": ["test_edges.py::test_pipeline_on_edges"],
+}
