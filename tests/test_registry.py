@@ -11,14 +11,15 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SOME = ["substring_join", "idf_floor", "dense_lookup", "late_search_wide", "mrr", "pareto", "chunk_upsert", "rejects"]
-NAMES = list(entry.queries()) if os.environ.get("RANKLOOM_ALL") else SOME
+SOME = ["substring_join", "idf_floor", "dense_lookup", "late_search_wide", "mrr", "bm25_negative", "pareto", "chunk_upsert", "rejects"]
+NAMES = list(entry.oracle_sql()) if os.environ.get("RANKLOOM_ALL") else SOME
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no driver tables")
 
 
 def test_every_query_has_a_check():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert entry.oracle_sql().keys() <= entry.queries().keys()
+    assert entry.queries().keys() <= entry.oracle_sql().keys() | entry.TESTED.keys()
 
 
 def canonical(columns, rows):
