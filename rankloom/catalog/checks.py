@@ -301,6 +301,9 @@ NEW_TOKENS = f"SELECT query_id AS chunk_id, q_pos AS embedding_id, {_vector_text
 MATCHES = """matches AS (SELECT item_id AS query_id, doc_id AS id, source AS title, d.text AS body
     FROM documents d JOIN benchmark b ON contains(d.text, b.text))"""
 
+DENSE_UPDATE = f"""SELECT coalesce(doc_id, vec_id + 150) AS id, source AS title, text AS body,
+        {_vector_text('embedding')} AS vector FROM documents FULL JOIN embeddings ON doc_id = vec_id + 150"""
+
 CHECKS = {
     "chunk_scan": "SELECT source AS title, text AS body FROM documents",
     "substring_filter": "SELECT source AS title, text AS body FROM documents WHERE contains(text, 'tion the')",
@@ -545,8 +548,12 @@ CHECKS = {
         select=f"""{STORED_TOKENS} ANTI JOIN (SELECT query_id AS chunk_id FROM query_tokens) USING (chunk_id)
             UNION ALL {NEW_TOKENS}""",
     ),
-    "dense_update": f"""SELECT coalesce(doc_id, vec_id + 150) AS id, source AS title, text AS body,
-        {_vector_text('embedding')} AS vector FROM documents FULL JOIN embeddings ON doc_id = vec_id + 150""",
+    "typed_rejects": """SELECT ['good', 'part 1 has no embedding', 'part 1 has a malformed embedding',
+            'part 1 has a malformed embedding', 'part 1 has no colbert_embedding', 'part 1 has a ragged colbert_embedding',
+            'part 1 has a malformed colbert_embedding', 'part 1 has no embedding', 'good',
+            'part 1 has a malformed embedding'][doc_id % 10 + 1] AS reason, count(*) AS n_documents FROM documents GROUP BY 1""",
+    "dense_update": DENSE_UPDATE,
+    "dense_side_table": DENSE_UPDATE,
     "encode_tokens": _sql(
         *_token_vectors("d", "documents", "doc_id", "text"),
         select=f"""SELECT doc_id AS chunk_id, place::INTEGER AS embedding_id, {_vector_text('v::FLOAT[]')} AS vector
@@ -576,5 +583,17 @@ CHECKS = {
         FROM documents WHERE lang IN ('fr', 'de') GROUP BY 1""",
     "accepted_documents": PART_COUNTS + "lang NOT IN ('fr', 'de')",
     "manifest_skip": PART_COUNTS + "source NOT LIKE 'src1%'",
-    "stream_ingest": _sql(PARTS, select="SELECT title || '#' || part AS id, title, content AS body FROM parts"),
+    "stream_ingest": _sql(
+        PARTS,
+        select="""SELECT title || '#' || part AS id, title, CASE WHEN doc_id % 3 = 0 THEN translate(content, 'aeo', 'AEO') ELSE content END AS body
+            FROM parts WHERE doc_id % 3 = 0 OR lang NOT IN ('fr', 'de')""",
+    ),
+    "stream_tokens": _sql(
+        PARTS,
+        f"""counted AS (SELECT title || '#' || part AS chunk_id, len({_words('content')}) AS n FROM parts
+            WHERE doc_id % 3 = 0 OR lang NOT IN ('fr', 'de'))""",
+        select="SELECT chunk_id, n AS n_tokens, (n - 1)::INTEGER AS last FROM counted WHERE n > 0",
+    ),
+    "stream_rejects": """SELECT 0 AS batch_id, CASE lang WHEN 'fr' THEN 'not a JSON object' ELSE 'no title' END AS reason,
+        count(*) AS n_documents FROM documents WHERE lang IN ('fr', 'de') GROUP BY 2""",
 }

@@ -15,9 +15,9 @@ from rankloom.operators.metrics import query_metrics
 from rankloom.operators.sizing import stored
 from rankloom.operators.substring import match_counts, substring_filter, substring_join, substring_matches
 from rankloom.plans import dense, evaluate, ingest, late, lexical as lexical_plans
-from rankloom.schema import DOC_TITLE, SWEEP_VALUES
+from rankloom.schema import DOC_TITLE, PART_DENSE, PART_TEXT, PART_TOKENS, SWEEP_VALUES
 from rankloom.session import scratch_dir
-from rankloom.sources import benchlog, collection, documents, tables
+from rankloom.sources import benchlog, collection, documents, sides, tables
 from rankloom.streaming import ingest as streaming
 
 N_ANN, N_CANDIDATES, K = 20, 40, 100
@@ -486,6 +486,44 @@ def dense_update(spark, sf):
     return changed.select("id", "title", "body", fx.vector_text("dense_embedding").alias("vector"))
 
 
+def dense_side_table(spark, sf):
+    """The same update where chunks and vectors are bucketed tables."""
+    updates = fx.table(spark, sf, "embeddings").select(
+        (F.col("vec_id") + 150).alias("id"), F.col("embedding").alias("dense_embedding")
+    )
+    chunks = sides.write_bucketed(fx.chunks(spark, sf), sides.table_name("chunks"), buckets=8)
+    vectors = sides.write_bucketed(updates, sides.table_name("vectors"), buckets=8)
+    changed = sides.with_vectors(chunks, vectors)
+    return changed.select("id", "title", "body", fx.vector_text("dense_embedding").alias("vector"))
+
+
+def typed_rejects(spark, sf):
+    """Documents of two parts whose second part has a vector that is missing, malformed or ragged, by kind."""
+    good, tokens = "[0.5, 1, -2e-3]", "[[1, 2], [0.5, 1.5]]"
+    vectors = [
+        (good, tokens),
+        (None, tokens),
+        ('"0.5"', tokens),
+        ("[0.5, null]", tokens),
+        (good, None),
+        (good, "[[1, 2], [3]]"),
+        (good, '[[1, "2"]]'),
+        ("null", tokens),
+        (good, "[]"),
+        ("[[1]]", tokens),
+    ]
+
+    def part(dense, many):
+        members = [(PART_DENSE, dense), (PART_TOKENS, many)]
+        return ", ".join([f'"{PART_TEXT}": "x"', *[f'"{name}": {v}' for name, v in members if v is not None]])
+
+    second = F.element_at(F.array(*[F.lit(part(*v)) for v in vectors]), (F.col("doc_id") % len(vectors) + 1).cast("int"))
+    head = F.format_string(f'{{"{DOC_TITLE}": "doc-%d", "0": {{{part(good, tokens)}}}, "1": {{', "doc_id")
+    rows = fx.table(spark, sf, "documents").select(F.concat(head, second, F.lit("}}")).alias("value"))
+    read = documents.read_documents(spark, _written_documents(spark, sf, rows), "lines", (PART_DENSE, PART_TOKENS))
+    return read.groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count("*").alias("n_documents"))
+
+
 def token_vectors(spark, sf):
     rows = encode_tokens(fx.corpus(spark, sf).select(F.col("doc_id").alias("chunk_id"), "text"))
     return rows.select("chunk_id", "embedding_id", fx.vector_text("embedding").alias("vector"))
@@ -575,12 +613,31 @@ def manifest_skip(spark, sf):
     return documents.good_documents(read).select("title", "n_parts")
 
 
+def _streamed(spark, sf):
+    """Damaged documents streamed in, then whole ones of which some titles come again with other lines."""
+    out, marks = scratch_dir(spark, "loaded"), scratch_dir(spark, "marks")
+    path = _written_documents(spark, sf, _damaged(spark, sf))
+    streaming.stream_documents(spark, path, out, marks, HashEncoder, layout="lines").awaitTermination()
+    again = fx.paragraphs(spark, sf).filter("doc_id % 3 = 0").withColumn("texts", F.transform("texts", lambda t: F.translate(t, "aeo", "AEO")))
+    fx.document_json(again).select("value").write.mode("append").option("compression", "gzip").text(path)
+    for _ in range(2):  # the second time nothing is new
+        streaming.stream_documents(spark, path, out, marks, HashEncoder, layout="lines").awaitTermination()
+    return out
+
+
 def stream_ingest(spark, sf):
-    """All documents as JSON lines, streamed in, then streamed again with nothing new."""
-    path, out, marks = _written_documents(spark, sf), scratch_dir(spark, "loaded"), scratch_dir(spark, "marks")
-    for _ in range(2):
-        streaming.stream_documents(spark, path, out, marks, layout="lines").awaitTermination()
-    return streaming.current_chunks(spark, out).select("id", "title", "body")
+    return streaming.current_chunks(spark, _streamed(spark, sf)).select("id", "title", "body")
+
+
+def stream_tokens(spark, sf):
+    return streaming.current_tokens(spark, _streamed(spark, sf)).groupBy("chunk_id").agg(
+        F.count("*").alias("n_tokens"), F.max("embedding_id").alias("last")
+    )
+
+
+def stream_rejects(spark, sf):
+    rows = streaming.all_rejects(spark, _streamed(spark, sf))
+    return rows.groupBy(F.col("batch_id").cast("int").alias("batch_id"), "reason").agg(F.count("*").alias("n_documents"))
 
 
 QUERIES = {
@@ -647,6 +704,8 @@ QUERIES = {
     "token_upsert": token_upsert,
     "token_upsert_replace": token_upsert_replace,
     "dense_update": dense_update,
+    "dense_side_table": dense_side_table,
+    "typed_rejects": typed_rejects,
     "encode_tokens": token_vectors,
     "encode_queries": query_token_vectors,
     "ingest_corpus": ingest_corpus,
@@ -657,4 +716,6 @@ QUERIES = {
     "accepted_documents": accepted_documents,
     "manifest_skip": manifest_skip,
     "stream_ingest": stream_ingest,
+    "stream_tokens": stream_tokens,
+    "stream_rejects": stream_rejects,
 }

@@ -6,6 +6,7 @@ from rankloom.operators.encode import HashEncoder, encode_dense
 from rankloom.operators.nearest import nearest
 from rankloom.operators.sizing import stored
 from rankloom.operators.upsert import update_dense
+from rankloom.sources import sides
 
 
 def dense_search(query_vectors, chunks, k=100, kind="dot", digits=6):
@@ -30,6 +31,13 @@ def add_dense_vectors(chunks, corpus, encoder=HashEncoder, insert_missing=True):
     return update_dense(chunks, stored(encode_dense(texts, encoder), "vectors"), insert_missing)
 
 
+def add_side_vectors(chunks, corpus, encoder=HashEncoder, insert_missing=True, buckets=sides.BUCKETS):
+    """The same for chunks that are a table of ``sources.sides``: only the vectors move, once, when they are stored."""
+    texts = corpus.select(F.col("doc_id").alias("id"), "text")
+    vectors = sides.write_bucketed(encode_dense(texts, encoder), sides.table_name("vectors"), buckets=buckets)
+    return sides.with_vectors(chunks, vectors, insert_missing)
+
+
 def dense_run(found, system="dense", config="default"):
     rows = found.select("query_id", F.col("id").alias("doc_id"), F.col("similarity").alias("score"), "rank")
     return rows.select(F.lit(system).alias("system"), F.lit(config).alias("config"), *rows.columns)

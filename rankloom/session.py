@@ -24,6 +24,9 @@ def local_session(cpus=8, shuffle_partitions=None, memory="12g"):
     return spark
 
 
+_local_roots = {}
+
+
 def scratch_dir(spark, name):
     """A new folder name under the folder the cluster shares.
 
@@ -35,8 +38,9 @@ def scratch_dir(spark, name):
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="rankloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        # the setting is fixed once a session runs, so the folder is remembered here
+        root = _local_roots.setdefault(spark.sparkContext.applicationId, None) or tempfile.mkdtemp(prefix="rankloom-")
+        _local_roots[spark.sparkContext.applicationId] = root
     return os.path.join(root, f"{name}-{uuid.uuid4().hex}")
 
 

@@ -1,15 +1,17 @@
 import gzip
 import json
+import os
 
 import numpy as np
 import pytest
 from conftest import rows_of
 
+from rankloom import session
 from rankloom.operators import upsert
 from rankloom.operators.encode import HashEncoder, encode_dense, encode_tokens
 from rankloom.plans import dense, ingest
 from rankloom.schema import PART_TOKENS
-from rankloom.sources import collection, documents, tables
+from rankloom.sources import collection, documents, sides, tables, views
 from rankloom.streaming import ingest as streaming
 
 
@@ -98,6 +100,66 @@ def test_files_are_loaded_once(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t")).count() == 5
 
 
+def test_side_vectors_move_no_body(spark):
+    chunks = [(str(i), f"t{i}", f"body {i}", [float(i)]) for i in range(30)]
+    df = spark.createDataFrame(chunks, "id string, title string, body string, dense_embedding array<float>")
+    stored = sides.write_bucketed(df, sides.table_name("chunks"), buckets=4)
+    corpus = spark.createDataFrame([(str(i), f"word {i}") for i in range(20, 40)], "doc_id string, text string")
+    for missing, n in ((True, 40), (False, 30)):
+        got = dense.add_side_vectors(stored, corpus, insert_missing=missing, buckets=4)
+        assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+        direct = dense.add_dense_vectors(df, corpus, insert_missing=missing)
+        assert got.count() == n
+        assert got.exceptAll(direct).count() == direct.exceptAll(got).count() == 0
+
+
+def test_a_version_is_seen_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "tables")
+
+    def rows(*items):
+        return spark.createDataFrame(items, "id string, body string")
+
+    def seen():
+        return dict(rows_of(views.current(spark, root, "t", "id string, body string")))
+
+    def publish(version, *items):
+        views.publish(spark, root, version, {"t": (rows(*items), ["id"])}, buckets=4)
+
+    assert seen() == {}
+    publish(0, *[(f"k{i}", "old") for i in range(40)])
+    publish(1, ("k1", "new"), ("k99", "new"))
+    want = {f"k{i}": "old" for i in range(40)} | {"k1": "new", "k99": "new"}
+    assert seen() == want
+    assert len(os.listdir(f"{root}/t/version=1")) < 4 + 2  # touched buckets only, and the marks of the writer
+
+    def dies(*args, **kwargs):
+        raise OSError("lost")
+
+    late = rows(("k2", "again"))
+    with monkeypatch.context() as patch:  # the data are written, the manifest row is not
+        patch.setattr(type(spark), "createDataFrame", dies)
+        with pytest.raises(OSError):
+            views.publish(spark, root, 2, {"t": (late, ["id"])}, buckets=4)
+    assert seen() == want
+    publish(2, ("k2", "again"))
+    assert seen() == want | {"k2": "again"}
+    publish(2, ("k2", "again"))  # a version run once more after its manifest row
+    assert seen() == want | {"k2": "again"}
+    publish(3)
+    assert seen() == want | {"k2": "again"}
+    plan = views.current(spark, root, "t", "id string")._jdf.queryExecution().toString()
+    assert "Exchange" not in plan and "Window" not in plan
+
+
+def test_scratch_folder_without_the_setting(spark, monkeypatch):
+    """A local session without the setting keeps one temporary folder; nothing tries to change the setting."""
+    monkeypatch.setattr(session, "_local_roots", {})
+    read = spark.conf.get
+    monkeypatch.setattr(type(spark.conf), "get", lambda conf, name, *d: None if name == "spark.checkpoint.dir" else read(name, *d))
+    first, second = session.scratch_dir(spark, "a"), session.scratch_dir(spark, "b")
+    assert os.path.dirname(first) == os.path.dirname(second) and first != second
+
+
 def test_stream_restarts_where_it_stopped(spark, tmp_path):
     folder, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
     write_files(folder)
@@ -123,7 +185,7 @@ def test_collection_files(spark, tmp_path):
         "query-id\tcorpus-id\tscore\nq2\td1\t1\nq0\td1\t2\nq2\td2\t1\nq3\td2\t0\n"
     )
     corpus, queries, qrels = collection.load_collection(spark, str(tmp_path), "test")
-    assert rows_of(corpus) == [("d1", "T", "x"), ("d2", "", "y")]
+    assert rows_of(corpus) == [("d1", "T", "x", 0), ("d2", "", "y", 1)]
     first, judged = collection.restrict_queries(queries, qrels, 2)
     assert [r.query_id for r in first.orderBy("pos").collect()] == ["q2", "q0"]
     assert rows_of(judged) == [("q0", "d1", 2), ("q2", "d1", 1), ("q2", "d2", 1)]
