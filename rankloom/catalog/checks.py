@@ -570,10 +570,12 @@ CHECKS = {
     "json_roundtrip": _sql(
         PARTS,
         f"worded AS (SELECT *, {_words('content')} AS w FROM parts)",
-        f"raw AS (SELECT term, {_BYTES.format(t='term')}::DOUBLE[] AS v FROM (SELECT DISTINCT w[1] AS term FROM worded))",
-        f"unit AS (SELECT term, {_unit('v')}::FLOAT[] AS v FROM raw WHERE term IS NOT NULL)",
-        select=f"""SELECT title, part::INTEGER AS part, content, len(w)::INTEGER AS n_tokens,
-            coalesce({_vector_text('v')}, '') AS first_vector FROM worded LEFT JOIN unit ON w[1] = term""",
+        "spread AS (SELECT title, part, unnest(w) AS term, generate_subscripts(w, 1) AS place FROM worded)",
+        f"raw AS (SELECT term, {_BYTES.format(t='term')}::DOUBLE[] AS v FROM (SELECT DISTINCT term FROM spread))",
+        f"unit AS (SELECT term, {_vector_text(_unit('v') + '::FLOAT[]')} AS v FROM raw)",
+        "joined AS (SELECT title, part, string_agg(v, ',' ORDER BY place) AS v FROM spread JOIN unit USING (term) GROUP BY ALL)",
+        select="""SELECT title, part::INTEGER AS part, content, len(w)::INTEGER AS n_tokens, md5(coalesce(v, '')) AS vectors
+            FROM worded LEFT JOIN joined USING (title, part)""",
     ),
     "ingest_summary": _sql(
         PARTS,
@@ -583,6 +585,13 @@ CHECKS = {
         FROM documents WHERE lang IN ('fr', 'de') GROUP BY 1""",
     "accepted_documents": PART_COUNTS + "lang NOT IN ('fr', 'de')",
     "manifest_skip": PART_COUNTS + "source NOT LIKE 'src1%'",
+    "load_new_files": _sql(PARTS, select="SELECT title || '#' || part AS id, title, content AS body FROM parts"),
+    "encode_resumed": _sql(
+        PARTS,
+        select=f"""SELECT title, count(*) AS n_parts, sum(len({_words('content')}))::BIGINT AS n_tokens,
+            (SELECT count(*) FROM documents WHERE lang <> 'en') AS call_0,
+            (SELECT count(*) FROM documents WHERE lang = 'en') AS call_1, 0::BIGINT AS call_2 FROM parts GROUP BY title""",
+    ),
     "stream_ingest": _sql(
         PARTS,
         select="""SELECT title || '#' || part AS id, title, CASE WHEN doc_id % 3 = 0 THEN translate(content, 'aeo', 'AEO') ELSE content END AS body

@@ -12,7 +12,7 @@ from rankloom.operators.limits import effective_limits
 from rankloom.operators.lookup import chunk_by_id, result_records, tokens_of_chunk
 from rankloom.operators.maxsim import best_matches, maxsim_scores, stage1_scores
 from rankloom.operators.metrics import query_metrics
-from rankloom.operators.sizing import stored
+from rankloom.operators.sizing import spread, stored
 from rankloom.operators.substring import match_counts, substring_filter, substring_join, substring_matches
 from rankloom.plans import dense, evaluate, ingest, late, lexical as lexical_plans
 from rankloom.schema import DOC_TITLE, PART_DENSE, PART_TEXT, PART_TOKENS, SWEEP_VALUES
@@ -545,7 +545,7 @@ def ingest_corpus(spark, sf):
 def _written_documents(spark, sf, rows=None):
     path = scratch_dir(spark, "documents")
     rows = fx.document_json(fx.paragraphs(spark, sf)) if rows is None else rows
-    rows.select("value").write.option("compression", "gzip").text(path)
+    spread(rows.select("value")).write.option("compression", "gzip").text(path)
     return path
 
 
@@ -556,18 +556,17 @@ def json_parts(spark, sf):
 
 
 def json_roundtrip(spark, sf):
-    """Encoded, written with token vectors, read again: first vector of every part."""
+    """Encoded, written with token vectors, read again: every vector of every part."""
     read = documents.read_documents(spark, _written_documents(spark, sf), "lines")
     path = scratch_dir(spark, "encoded")
     documents.write_encoded(documents.good_documents(read), path, HashEncoder)
     again = documents.document_parts(documents.good_documents(documents.read_documents(spark, path, "lines")))
-    first = F.get("token_embeddings", F.lit(0))
     return again.select(
         "title",
         "part",
         "content",
         F.size("token_embeddings").alias("n_tokens"),
-        F.coalesce(fx.vector_text(first), F.lit("")).alias("first_vector"),
+        F.md5(fx.vector_text(F.flatten("token_embeddings")).cast("binary")).alias("vectors"),
     )
 
 
@@ -613,6 +612,28 @@ def manifest_skip(spark, sf):
     return documents.good_documents(read).select("title", "n_parts")
 
 
+def load_new_files(spark, sf):
+    """Documents in one folder per source, loaded three files at a time until none is left."""
+    path, out = scratch_dir(spark, "by-source"), scratch_dir(spark, "loaded")
+    rows = fx.document_json(fx.paragraphs(spark, sf)).select("value", "source")
+    rows.repartition("source").write.partitionBy("source").option("compression", "gzip").text(path)
+    places = [path, f"{out}/chunks", f"{out}/tokens", f"{out}/manifest"]
+    while ingest.load_new_files(spark, *places, cap=3, layout="lines"):
+        pass
+    return tables.latest(spark.read.parquet(f"{out}/chunks"), ["id"]).select("id", "title", "body")
+
+
+def encode_resumed(spark, sf):
+    """Documents of some languages encoded, then all of them: how many are encoded by each call, and the rows."""
+    path, calls = scratch_dir(spark, "encoded"), []
+    for rows in (fx.paragraphs(spark, sf).filter("lang <> 'en'"), fx.paragraphs(spark, sf), fx.paragraphs(spark, sf)):
+        read = documents.read_documents(spark, _written_documents(spark, sf, fx.document_json(rows)), "lines")
+        calls.append(documents.encode_new(documents.good_documents(read), path, HashEncoder))
+    again = documents.document_parts(documents.good_documents(documents.read_documents(spark, path, "lines")))
+    counts = again.groupBy("title").agg(F.count("*").alias("n_parts"), F.sum(F.size("token_embeddings")).alias("n_tokens"))
+    return counts.select("*", *[F.lit(n).cast("bigint").alias(f"call_{i}") for i, n in enumerate(calls)])
+
+
 def _streamed(spark, sf):
     """Damaged documents streamed in, then whole ones of which some titles come again with other lines."""
     out, marks = scratch_dir(spark, "loaded"), scratch_dir(spark, "marks")
@@ -715,6 +736,8 @@ QUERIES = {
     "rejects": rejected_documents,
     "accepted_documents": accepted_documents,
     "manifest_skip": manifest_skip,
+    "load_new_files": load_new_files,
+    "encode_resumed": encode_resumed,
     "stream_ingest": stream_ingest,
     "stream_tokens": stream_tokens,
     "stream_rejects": stream_rejects,
