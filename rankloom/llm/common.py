@@ -27,6 +27,14 @@ def pick(df, **columns):
     return df.select(*(F.col(f"`{source}`").alias(name) for name, source in columns.items()))
 
 
+def fresh(df, name):
+    """The name, or one made from it that is no column of df, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(key, modulus, remainder):
     """crc32 of the key as text; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(modulus)) == remainder

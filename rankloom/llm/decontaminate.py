@@ -20,7 +20,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import pick
+from rankloom.llm.common import fresh, pick
 from rankloom.operators.sizing import broadcast_if, stored
 
 WINDOW = 8
@@ -258,7 +258,8 @@ def contaminated(docs, benchmark, window=WINDOW, coverage=COVERAGE, consistent=C
 
 def clean(docs, benchmark, **rules):
     """The rows of docs (with all their columns) in which no item is found."""
-    found = contaminated(docs, benchmark, **rules).select(F.col("row_key").alias("_leak_key")).distinct()
+    leak = fresh(docs, "_leak_key")
+    found = contaminated(docs, benchmark, **rules).select(F.col("row_key").alias(leak)).distinct()
     found = stored(found, "template-found")
     key = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
-    return docs.join(broadcast_if(found, found.count()), key == F.col("_leak_key"), "left_anti")
+    return docs.join(broadcast_if(found, found.count()), key == F.col(leak), "left_anti")

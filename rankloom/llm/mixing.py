@@ -14,7 +14,7 @@ DataFrame functions only.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import WORD, pick
+from rankloom.llm.common import WORD, fresh, pick
 from rankloom.operators.sizing import broadcast_if, stored
 
 WEIGHTS = (5, 2, 1)
@@ -137,8 +137,9 @@ def mixed(docs, weights=WEIGHTS, repeats=MOST_REPEATS):
     are not shuffled.  Rules as for ``mix``.
     """
     near, sources = _plan(_sizes(docs), weights, repeats)
-    near = near.select(F.struct("s", "whole", "cut").alias("_mix"))
-    out = docs.join(broadcast_if(near, sources), F.col("_mix.s").eqNullSafe(F.col("source")))
-    copies = F.col("_mix.whole") + (hash60(F.col("doc_id")) < F.col("_mix.cut")).cast("long")
+    mix_of = fresh(docs, "_mix")
+    near = near.select(F.struct("s", "whole", "cut").alias(mix_of))
+    out = docs.join(broadcast_if(near, sources), F.col(f"{mix_of}.s").eqNullSafe(F.col("source")))
+    copies = F.col(f"{mix_of}.whole") + (hash60(F.col("doc_id")) < F.col(f"{mix_of}.cut")).cast("long")
     again = F.when(copies > 0, F.sequence(F.lit(1).cast("long"), copies)).otherwise(F.array().cast("array<long>"))
-    return out.withColumn("_mix", F.explode(again)).select(*(f"`{c}`" for c in docs.columns))
+    return out.withColumn(mix_of, F.explode(again)).select(*(f"`{c}`" for c in docs.columns))

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import batches, hashed_words, pick, texts
+from rankloom.llm.common import batches, fresh, hashed_words, pick, texts
 from rankloom.operators.sizing import broadcast_if, stored
 
 SAMPLE = 8_000
@@ -240,6 +240,7 @@ def kept(docs, labels, host="source", path="lang", least=0.5):
     columns = [F.col(f"`{c}`") for c in ("doc_id", "text", host, path)]
     key = F.xxhash64(*columns)
     rows = docs.select(key.alias("doc_id"), columns[1].alias("text"), columns[2].alias("host"), columns[3].alias("path"))
-    out = _judged(rows, train(docs, labels), least).where(~F.col("keep")).select(F.col("doc_id").alias("_rejected")).distinct()
+    rejected = fresh(docs, "_rejected")
+    out = _judged(rows, train(docs, labels), least).where(~F.col("keep")).select(F.col("doc_id").alias(rejected)).distinct()
     out = stored(out, "quality-rejected")
-    return docs.join(broadcast_if(out, out.count()), key == F.col("_rejected"), "left_anti")
+    return docs.join(broadcast_if(out, out.count()), key == F.col(rejected), "left_anti")

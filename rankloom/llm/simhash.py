@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
-from rankloom.llm.common import lower_bytes, pick, texts
+from rankloom.llm.common import fresh, lower_bytes, pick, texts
 from rankloom.llm.components import components
 from rankloom.operators.sizing import broadcast_if, stored
 
@@ -221,11 +221,12 @@ def one_of_each(docs, width=SHINGLE, max_bits=MAX_BITS):
     ranked = stored(ranked.select("k", "component_id", "n", "rank"), "simhash-ranked")
     first = stored(ranked.groupBy(F.col("component_id").alias("c")).agg(F.min("rank").alias("best")), "simhash-first")
     out = ranked.join(first.select("c", F.col("best.key").alias("stays")), F.col("component_id") == F.col("c"))
-    out = stored(out.where((F.col("k") != F.col("stays")) | (F.col("n") > 1)).select(F.col("k").alias("_out"), (F.col("k") == F.col("stays")).alias("again")), "simhash-out")
+    gone = fresh(docs, "_out")
+    out = stored(out.where((F.col("k") != F.col("stays")) | (F.col("n") > 1)).select(F.col("k").alias(gone), (F.col("k") == F.col("stays")).alias("again")), "simhash-out")
     total = out.count()
-    rest = docs.join(broadcast_if(out.select("_out"), total), key == F.col("_out"), "left_anti")
-    twice = out.where("again").select("_out")
-    same = docs.join(broadcast_if(twice, total), key == F.col("_out"), "left_semi").dropDuplicates()
+    rest = docs.join(broadcast_if(out.select(gone), total), key == F.col(gone), "left_anti")
+    twice = out.where("again").select(gone)
+    same = docs.join(broadcast_if(twice, total), key == F.col(gone), "left_semi").dropDuplicates()
     return rest.unionByName(same)
 
 

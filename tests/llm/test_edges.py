@@ -7,7 +7,7 @@ import corpus_pipeline
 from rankloom.llm import decontaminate, langid, lm, minhash, mixing, passages, pii, quality, sharding, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-CLASHING = ["h", "n", "k", "key", "fp", "size", "score", "value", "row_key", "node", "count", "kind", "taken", "b", "a", "words", "place", "slot", "bin", "host", "path"]
+CLASHING = ["h", "n", "k", "key", "fp", "size", "score", "value", "row_key", "node", "count", "kind", "taken", "b", "a", "words", "place", "slot", "bin", "host", "path", "_mix", "_leak_key", "_rejected", "_out"]
 LONG = " ".join("q".join(chr(97 + int(c)) for c in f"{i % 977}{i % 31}") for i in range(30_000))
 ROWS = [
     (1, None, None, None, None),
