@@ -1,12 +1,13 @@
 """Personal data by bootstrapped contextual extraction.
 
 Seeds are the spans that four fixed patterns find and check: e-mail and IP addresses, card
-and phone numbers.  The two words before a seed are a lexical pattern of its kind.  Patterns
+and phone numbers.  Around them Spark induces lexical patterns: the two words before a seed, and the
+word before or after it together with its shape (``+9 (999) 999-9999``).  Patterns
 and the identifier-like tokens that fill them make a graph, which Spark scores in
-rounds: a pattern is as trustworthy as the identifiers known so far are among everything
-that follows these two words anywhere in the corpus, plain words included; a token is as
-likely an identifier as the patterns it fills make it.  Tokens that end up over ``LEAST`` are
-identifiers the fixed patterns don't know, and all their occurrences become spans.
+rounds: a pattern is as trustworthy as what is known so far of its fillers makes it; a token is as
+likely an identifier as the patterns it fills make it, and a believed one supports further
+patterns.  Tokens that end up over ``LEAST`` are identifiers the fixed patterns don't know, such as card numbers
+with a wrong digit, and all their occurrences become spans.
 
 DataFrame functions only.  Long texts are never cut; spans are counted in code points, ends exclusive.
 """
@@ -17,7 +18,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankloom.llm.common import pick
-from rankloom.operators.sizing import stored
+from rankloom.operators.sizing import broadcast_if, stored
 
 KINDS = ("email", "ip", "card", "phone")
 #: The same matches as the plain patterns, without trying again inside a run that has failed.
@@ -35,9 +36,10 @@ SEEDS = 3
 DOUBT = 2.0
 ROUNDS = 3
 LEAST = 0.8
+#: Patterns or shapes that are sent to every task; more are joined by a shuffle.
+MAX_CONTEXTS = 1_000_000
 _MARK = "\ue000"
 _GLUE = "\ue004"
-_SPACE = r"[\x20\x09-\x0D]"
 
 
 def valid(kind, match):
@@ -69,20 +71,16 @@ def base_spans(rows):
     return reduce(lambda a, b: a.union(b), parts)
 
 
-def _tokens(text):
-    """Tokens between single whitespace characters; numbers written in groups stay one token of the same length."""
-    glued = F.when(text.rlike("[0-9]"), F.regexp_replace(text, r"(?<=[0-9)])\x20(?=[0-9(])", _GLUE)).otherwise(text)
-    return F.split(glued, _SPACE)
+def _flat(text):
+    """The text with single spaces for all whitespace; numbers written in groups stay one token.  Lengths stay as they are."""
+    plain = F.replace(text, F.lit(_MARK), F.lit(_GLUE))
+    glued = F.when(text.rlike("[0-9]"), F.regexp_replace(plain, r"(?<=[0-9)])\x20(?=[0-9(])", _GLUE)).otherwise(plain)
+    return F.translate(glued, "\t\n\x0b\f\r", "     ")
 
 
-def _context(tokens, at):
-    """A hash of the two tokens before the one at that place (from 0), in lower case, digits alike."""
-    first = F.greatest(at - 1, F.lit(1))
-    return F.xxhash64(F.slice(tokens, first, F.least(at, F.lit(2))))
-
-
-def _even(tokens):
-    return F.transform(tokens, lambda t: F.regexp_replace(F.lower(t), r"[0-9]|^\P{L}+|\P{L}+$", ""))
+def _even(text):
+    """Words in lower case, without digits and without what is no letter around them; spaces stay."""
+    return F.regexp_replace(F.lower(text), r"(?<![^\x20])[^\p{L}\x20]++|(?<=\p{L})[^\p{L}\x20]++(?![^\x20])|[0-9]", "")
 
 
 def _trim(token):
@@ -99,26 +97,104 @@ def _seed_kind(value):
     return out
 
 
+def _shape(value):
+    """Letters by runs, digits one by one, the rest as it is."""
+    return F.regexp_replace(F.regexp_replace(value, r"\p{L}+", "a"), "[0-9]", "9")
+
+
 def candidates(rows):
-    """``(row_key, at, token, value, context, seed)`` of the identifier-like tokens: those with a digit or an @."""
-    ready = rows.where(F.col("text").rlike("[0-9@]")).select("row_key", _tokens(F.col("text")).alias("tokens"))
-    ready = ready.select("row_key", "tokens", _even("tokens").alias("even"))
-    marked = F.transform("tokens", lambda t, at: F.struct(at.alias("at"), t.alias("token")))
-    like = F.filter(marked, lambda x: x["token"].rlike("[0-9@]") & (F.length(x["token"]) >= 4) & (x["at"] > 0))
-    full = F.transform(like, lambda x: F.struct(x["at"].alias("at"), x["token"].alias("token"), _context(F.col("even"), x["at"]).alias("context")))
-    out = ready.select("row_key", F.explode(full).alias("c")).select("row_key", "c.*").withColumn("value", _trim(F.col("token")))
-    return out.withColumn("seed", _seed_kind(F.col("value"))).where("value != ''")
+    """``(row_key, start, end, value, seed, context, left, right)`` of the identifier-like tokens of rows (row_key, text).
+
+    These are tokens of at least four characters with a digit or an @.  context: a hash of the two words
+    before, null for a first token; left, right: hashes of the shape with the word before or after.
+    The tokens are marked in the text; what lies between the marks is measured and summed, as for base spans.
+    """
+    token = r"(?<![^\x20])[^\x200-9@]*+[0-9@][^\x20]*+"
+    pieces = F.split(F.regexp_replace(_flat(F.col("text")), token, f"{_MARK}$0{_MARK}"), _MARK)
+    ready = rows.where(F.col("text").rlike("[0-9@]")).select("row_key", pieces.alias("p"))
+
+    def piece(i):
+        return F.when((i >= 0) & (i < F.size("p")), F.get(F.col("p"), i)).otherwise("")
+
+    def around(p, at):
+        before = F.concat(F.substring_index(piece(at - 3), " ", -4), piece(at - 2), F.substring_index(piece(at - 1), " ", -4))
+        after = F.concat(F.substring_index(piece(at + 1), " ", 3), piece(at + 2))
+        odd = at % 2 == 1
+        return F.struct(
+            at.alias("at"),
+            F.length(p).alias("size"),
+            F.when(odd, p).alias("token"),
+            F.when(odd, F.substring_index(before, " ", -3)).alias("before"),
+            F.when(odd, F.substring_index(after, " ", 2)).alias("after"),
+        )
+
+    out = ready.select("row_key", F.explode(F.transform("p", around)).alias("c")).select("row_key", "c.*")
+    out = out.withColumn("past", F.sum("size").over(Window.partitionBy("row_key").orderBy("at"))).where("size >= 4 AND token IS NOT NULL")
+    cut = F.length("token") - F.length(F.regexp_replace("token", r"^[^\p{L}\p{N}+(]+", ""))
+    out = out.withColumn("value", _trim(F.col("token"))).where("value != ''").withColumn("start", F.col("past") - F.col("size") + cut)
+    words = F.split(_even(F.regexp_replace("before", " $", "")), " ")
+    shape = _shape(F.col("value"))
+    return out.select(
+        "row_key",
+        "start",
+        (F.col("start") + F.length("value")).alias("end"),
+        "value",
+        _seed_kind(F.col("value")).alias("seed"),
+        shape.alias("shape"),
+        F.when(F.col("before") != "", F.xxhash64(words)).alias("context"),
+        F.xxhash64(F.lit("left"), F.element_at(words, -1), shape).alias("left"),
+        F.xxhash64(F.lit("right"), F.trim(_even(F.col("after"))), shape).alias("right"),
+    )
 
 
-def _occurrences(rows):
-    """``(context, total)``: how often each context stands before any token, in all of rows.
+def _occurrences(rows, contexts):
+    """``(pattern, total)``: how often each of the contexts stands before any token, in all of rows.
 
-    Counted before any join: patterns grow with the corpus, and so would the rows that meet them.
+    The contexts meet the tokens where the texts are read, so only counts are shuffled.
     """
-    even = rows.select(_even(_tokens(F.col("text"))).alias("even"))
-    follow = F.transform(F.sequence(F.lit(1), F.greatest(F.size("even") - 1, F.lit(1))), lambda i: _context(F.col("even"), i))
-    seen = even.where(F.size("even") > 1).select(F.explode(follow).alias("context"))
-    return seen.groupBy("context").agg(F.count("*").alias("total"))
+    words = rows.select(F.split(_even(_flat(F.col("text"))), " ").alias("w")).where(F.size("w") > 1)
+    first = F.array(F.xxhash64(F.slice("w", 1, 1)))
+    later = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.slice("w", i, F.lit(2))))
+    follow = F.when(F.size("w") > 2, F.concat(first, later)).otherwise(first)
+    seen = words.select(F.explode(follow).alias("pattern"))
+    contexts = broadcast_if(contexts, contexts.count(), MAX_CONTEXTS)
+    return seen.join(contexts, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+
+
+def graph(rows, found, seeds=SEEDS):
+    """``(pattern, value, seed, total, n)``: which values fill which patterns, how often, and how often anything does.
+
+    A pattern is either two words before a token whatever it looks like, wanted only with ``seeds`` different
+    seeds, or one word before or after a token of the shape that a seed has; ``total`` is null for the latter.
+    """
+    contexts = found.where("seed IS NOT NULL AND context IS NOT NULL").groupBy(F.col("context").alias("pattern"), "seed")
+    contexts = contexts.agg(F.count_distinct("value").alias("n")).where(F.col("n") >= seeds).select("pattern").distinct()
+    totals = stored(_occurrences(rows, stored(contexts, "pii-contexts")), "pii-totals")
+    totals = broadcast_if(totals, totals.count(), MAX_CONTEXTS)
+    plain = found.select(F.col("context").alias("pattern"), "value", "seed").join(totals, "pattern")
+    shapes = stored(found.where("seed IS NOT NULL").select("shape").distinct(), "pii-shapes")
+    like = found.join(broadcast_if(shapes, shapes.count(), MAX_CONTEXTS), "shape")
+    sided = like.select(F.explode(F.array("left", "right")).alias("pattern"), "value", "seed", F.lit(None).cast("long").alias("total"))
+    edges = plain.select(sided.columns).union(sided)
+    return stored(edges.groupBy(edges.columns).agg(F.count("*").alias("n")), "pii-edges")
+
+
+def trusted(edges, belief, seeds=SEEDS, doubt=DOUBT, least=LEAST):
+    """``(pattern, kind, trust)`` of patterns filled by ``seeds`` different values that are believed to be of the kind.
+
+    Two words alone are as trustworthy as the share of known identifiers among all that follows them.  A
+    word with a shape is held against the identifiers of other kinds only: what fills it is not known to be
+    none, and the shape rules plain words out.  ``doubt`` counts against both.
+    """
+    kinds = edges.join(belief, "value").groupBy("pattern", "kind").agg(
+        F.sum("belief").alias("good"),
+        F.sum(F.col("n") * F.col("belief")).alias("mass"),
+        F.max("total").alias("total"),
+        F.count_if(F.col("belief") >= least).alias("k"),
+    )
+    every = F.sum("good").over(Window.partitionBy("pattern"))  # at most one row for each kind
+    trust = F.when(F.col("total").isNull(), F.col("good") / (every + doubt)).otherwise(F.col("mass") / (F.col("total") + doubt))
+    return kinds.select("pattern", "kind", "k", trust.alias("trust")).where(F.col("k") >= seeds).drop("k")
 
 
 def discover(rows, found, seeds=SEEDS, doubt=DOUBT, rounds=ROUNDS, least=LEAST):
@@ -127,23 +203,19 @@ def discover(rows, found, seeds=SEEDS, doubt=DOUBT, rounds=ROUNDS, least=LEAST):
     A value that is a seed itself is not given again; a value that several kinds' patterns
     point to has the kind that is surer of it, the earlier one on a tie.
     """
-    patterns = found.where("seed IS NOT NULL").groupBy("context", F.col("seed").alias("kind")).agg(F.count_distinct("value").alias("n"))
-    patterns = stored(patterns.where(F.col("n") >= seeds).select("context", "kind"), "pii-patterns")
-    totals = _occurrences(rows)
-    totals = stored(patterns.join(totals, "context").select("context", "kind", "total"), "pii-totals")
-    edges = found.groupBy("context", "value").agg(F.count("*").alias("n"), F.max("seed").alias("seed"))
-    edges = stored(edges.join(totals, "context").select("context", "kind", "total", "value", "seed", "n"), "pii-edges")
-    known = (F.col("seed") == F.col("kind")).cast("double")
-    belief = edges.select("value", "kind", F.coalesce(known, F.lit(0.0)).alias("belief")).distinct()
+    edges = graph(rows, found, seeds)
+    seed = edges.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("belief")).distinct()
+    seed = stored(seed, "pii-seeds")
+    belief, new = seed, None
     for _ in range(rounds):
-        scored = edges.join(belief, ["value", "kind"]).groupBy("context", "kind", "total").agg(F.sum(F.col("n") * F.col("belief")).alias("good"))
-        scored = scored.select("context", "kind", (F.col("good") / (F.col("total") + doubt)).alias("trust"))
-        # noisy or over a value's patterns, each as often as the value fills it
-        doubted = F.exp(F.sum(F.col("n") * F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))
-        new = edges.join(scored, ["context", "kind"]).groupBy("value", "kind").agg((1 - doubted).alias("raw"), F.max("seed").alias("seed"), F.max("trust").alias("best"))
-        own = F.when(F.col("seed").isNotNull(), F.coalesce(known, F.lit(0.0))).when(F.col("best") >= 0.5, F.col("raw")).otherwise(0.0)
-        belief = stored(new.select("value", "kind", own.alias("belief"), "seed"), "pii-belief").select("value", "kind", "belief", "seed")
-    sure = belief.where((F.col("belief") >= least) & F.col("seed").isNull())
+        patterns = trusted(edges, belief, seeds, doubt, least)
+        # noisy or over the patterns that a value fills
+        doubted = F.exp(F.sum(F.log(F.greatest(F.lit(1e-9), 1 - F.col("trust")))))
+        new = edges.where("seed IS NULL").join(patterns, "pattern").groupBy("value", "kind")
+        new = new.agg((1 - doubted).alias("belief"), F.max("trust").alias("best")).where("best >= 0.5").drop("best")
+        new = stored(new, "pii-belief")
+        belief = seed.union(new)
+    sure = new.where(F.col("belief") >= least)
     return sure.groupBy("value").agg(F.max_by("kind", F.struct("belief", -F.col("kind"))).alias("kind"))
 
 
@@ -167,14 +239,8 @@ def personal_data(docs, **rules):
     base = stored(base_spans(some), "pii-base")
     found = stored(candidates(some), "pii-candidates")
     new = discover(every.select("text"), found, **rules)
-    more = found.where("seed IS NULL").join(new, "value").select("row_key", "at", "token", "value", "kind")
-    more = stored(more, "pii-new")
-    text = some.join(more.select(F.col("row_key").alias("k")).distinct(), F.col("row_key") == F.col("k"), "left_semi")
-    tokens = text.select(F.col("row_key").alias("k"), _tokens(F.col("text")).alias("tokens"))
-    placed = more.join(tokens, F.col("row_key") == F.col("k"))
-    before = F.length(F.array_join(F.slice("tokens", 1, F.col("at")), " ")) + 1
-    start = before + F.length("token") - F.length(F.regexp_replace("token", r"^[^\p{L}\p{N}+(]+", ""))
-    placed = placed.select("row_key", "kind", start.cast("long").alias("start"), (start + F.length("value")).cast("long").alias("end"))
+    more = found.where("seed IS NULL").join(new, "value")
+    placed = more.select("row_key", "kind", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
     b = base.select(F.col("row_key").alias("bk"), F.col("start").alias("bs"), F.col("end").alias("be"))
     placed = placed.join(b, (F.col("row_key") == F.col("bk")) & (F.col("start") < F.col("be")) & (F.col("bs") < F.col("end")), "left_anti")
     spans = base.withColumn("base", F.lit(True)).unionByName(placed.withColumn("base", F.lit(False)))
