@@ -33,7 +33,7 @@ def op3_lm(spark, sf_dir):
 
 
 def op4_minhash(spark, sf_dir):
-    return minhash.compare_edited(documents(spark, sf_dir))
+    return minhash.fingerprinted(documents(spark, sf_dir))
 
 
 def op5_decontaminate(spark, sf_dir):
@@ -149,10 +149,10 @@ CHECKS = {"op12_merkle": _MERKLE}
 
 #: Queries that SQL cannot state, with the tests that hold them against brute force, a round trip or held-out accuracy.
 TESTED = {
-    "op1_pii": ["test_methods.py::test_pii_base", "test_methods.py::test_pii_discovers"],
+    "op1_pii": ["test_methods.py::test_pii_base", "test_methods.py::test_pii_discovers", "test_methods.py::test_pii_unknown_identifiers"],
     "op2_passages": ["test_methods.py::test_passages", "test_methods.py::test_compact_windows"],
     "op3_lm": ["test_methods.py::test_lm", "test_methods.py::test_lm_normalised", "test_methods.py::test_lm_learns"],
-    "op4_minhash": ["test_methods.py::test_minhash", "test_methods.py::test_near_duplicates"],
+    "op4_minhash": ["test_methods.py::test_minhash", "test_methods.py::test_near_duplicates", "test_methods.py::test_near_duplicates_of_a_table"],
     "op5_decontaminate": ["test_decontaminate.py::test_against_brute_force", "test_methods.py::test_decontaminate"],
     "op6_sharding": ["test_methods.py::test_sharding"],
     "op7_mixing": ["test_methods.py::test_mixing"],

@@ -40,6 +40,7 @@ def operators(labels, benchmark):
         "lm": lambda d: lm.score(d, rounds=1),
         "minhash": minhash.compare_edited,
         "near_duplicates": minhash.near_duplicates,
+        "fingerprinted": minhash.fingerprinted,
         "decontaminate": lambda d: decontaminate.contaminated(d, benchmark),
         "sharding": lambda d: sharding.place(d, "doc_id"),
         "mixing": mixing.mix,
@@ -53,7 +54,7 @@ def operators(labels, benchmark):
     }
 
 
-ROW_FOR_ROW = ["pii", "lm", "minhash", "near_duplicates", "sharding", "mixing", "langid", "quality", "simhash"]
+ROW_FOR_ROW = ["pii", "lm", "minhash", "near_duplicates", "fingerprinted", "sharding", "mixing", "langid", "quality", "simhash"]
 
 
 @pytest.mark.parametrize("name", operators(None, None))

@@ -145,6 +145,32 @@ def test_pii_discovers(spark):
     assert kind == "phone" and rows[30][int(start) : int(end)] == "555-0199-x22"
 
 
+def test_pii_unknown_identifiers(spark):
+    """Numbers that fail the card check are found after words that cards follow, at the right place, and no others."""
+    rng = random.Random(31)
+
+    def number(good):
+        while True:
+            digits = "".join(rng.choice("0123456789") for _ in range(16))
+            if luhn(digits) == good:
+                return digits
+
+    rows, want = [], {}
+    for i in range(600):
+        words = made_up(rng, rng.randint(2, 30))
+        kind = i % 3
+        value = number(kind == 0) if kind < 2 else f"{rng.randint(1000, 99999)}-{rng.randint(10, 99)}"
+        lead = " ".join(words) + "\n(é😀 " + rng.choice(["card", "charge", "paid"] if kind < 2 else ["card", "page", "paid"])
+        text = f"{lead}:  {value}, " if i % 2 else f"{lead} {value} " + " ".join(made_up(rng, 5))
+        if kind == 1:
+            want[i] = f"card:{text.index(value)}:{text.index(value) + 16}"
+        rows.append((i, text))
+    got = {r.doc_id: r for r in pii.personal_data(spark.createDataFrame(rows, DOCS).repartition(5)).collect()}
+    found = {i: r.spans for i, r in got.items() if r.n_found}
+    assert all(want.get(i) == spans for i, spans in found.items())
+    assert len(found) >= 0.9 * len(want)
+
+
 def test_passages(spark):
     rng = random.Random(4)
     shared, edited = made_up(rng, 70), None
@@ -241,6 +267,30 @@ def test_near_duplicates(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: want.find(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_of_a_table(spark):
+    """All pairs of a driver table, and the classes they make, against the registered query."""
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("no driver tables")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    sets = [frozenset(sets_of(r.text or "")) for r in docs]
+    seen, pairs = {}, set()
+    for i, have in enumerate(sets):
+        near = set()
+        for shingle in have:
+            near.update(seen.get(shingle, ()))
+        pairs.update((docs[j].doc_id, docs[i].doc_id) for j in near if jaccard(have, sets[j]) >= 0.8)
+        for shingle in have:
+            seen.setdefault(shingle, []).append(i)
+    got = {r.doc_id: r for r in minhash.fingerprinted(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    assert len(got) == len(docs) and pairs
+    together = sum(got[a].class_id == got[b].class_id for a, b in pairs)
+    assert together >= 0.99 * len(pairs)
+    linked = {d for pair in pairs for d in pair}
+    alone = [r.doc_id for r, have in zip(docs, sets, strict=True) if have and r.doc_id not in linked]
+    assert all((got[d].class_id, got[d].links) == (d, 0) for d in alone)
+
+
 def test_decontaminate(spark):
     items = [
         (1, "Alice has 12 apples and gives 5 of them to her brother before Bob takes 12 km to walk home with the rest"),
