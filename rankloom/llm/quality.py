@@ -169,18 +169,27 @@ def evidence(docs, model):
     return docs.select("doc_id", "host", "path", "text").mapInArrow(run, schema)
 
 
-def _strength(sites, rate, mean):
-    """How many documents' worth the prior is: method of moments on the spread of the site rates."""
-    n, p = F.col("n"), F.col(rate) / F.col("n")
-    within = mean * (1 - mean)
-    got = sites.agg(
-        F.sum("n").alias("all"), F.sum(n * n).alias("squares"), F.count("*").alias("k"), F.sum(n * (p - F.lit(mean)) ** 2).alias("spread")
+def _strength(sites, rate, group):
+    """How many documents' worth the prior is: method of moments on the spread of the site rates.
+
+    sites: one row for each site with ``n`` and the sum ``rate``.  A site is shrunk towards the rate of
+    its ``group``, so the spread is measured around that rate; sites alone in their group say nothing.
+    """
+    n, total = F.col("n"), F.col(rate)
+    groups = sites.groupBy(group.alias("group")).agg(
+        F.sum("n").alias("n"), F.sum(n * n).alias("squares"), (F.count("*") - 1).alias("free"), F.sum(total).alias("total"), F.sum(total * total / n).alias("raw")
+    )
+    mean = F.col("total") / n
+    got = groups.where("free > 0").agg(
+        F.sum("free").alias("free"),
+        F.sum(F.col("free") * mean * (1 - mean)).alias("within"),
+        F.sum(n - F.col("squares") / n).alias("width"),
+        F.sum(F.col("raw") - F.col("total") * mean).alias("spread"),
     ).first()
-    if not got["k"] or got["k"] < 2 or within <= 0:
+    if not got["free"] or got["within"] <= 0:
         return 100.0
-    width = got["all"] - got["squares"] / got["all"]
-    between = (got["spread"] - (got["k"] - 1) * within) / max(width, 1e-9)
-    return float(min(max(within / between - 1, 1.0), 1e6)) if between > 0 else 1e6
+    between = (got["spread"] - got["within"]) / max(got["width"], 1e-9)
+    return float(min(max(got["within"] / got["free"] / between - 1, 1.0), 1e6)) if between > 0 else 1e6
 
 
 def sites(scored, targets=TARGETS):
@@ -191,12 +200,12 @@ def sites(scored, targets=TARGETS):
     out, up, base = paths, hosts, {}
     for i, t in enumerate(targets):
         base[t] = float(whole[i + 1] / whole[0]) if whole[0] else 0.5
-        k = _strength(hosts, t, base[t])
+        k = _strength(hosts, t, F.lit(0))
         up = up.withColumn(f"{t}_host", (F.col(t) + k * base[t]) / (F.col("n") + k))
     up = up.select(F.col("host").alias("h"), *(f"{t}_host" for t in targets))
     out = out.join(up, F.col("host").eqNullSafe(F.col("h"))).drop("h")
     for t in targets:
-        k = _strength(paths, t, base[t])
+        k = _strength(paths, t, F.col("host"))
         out = out.withColumn(f"{t}_path", (F.col(t) + k * F.col(f"{t}_host")) / (F.col("n") + k))
     return out.drop(*targets), base
 
