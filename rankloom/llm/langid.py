@@ -21,6 +21,11 @@ GRAM = 3
 UNKNOWN = "und"
 #: Letter symbols: 0 for what isn't a letter, 1-26 for a-z, the others dealt out to the rest.
 SYMBOLS = 128
+#: Bytes of texts that are profiled at once; a longer text is read in pieces of PIECE code points.
+SLICE = 2_000_000
+PIECE = 500_000
+#: N-gram vectors that are held at once: those of one text, and those that the texts of a slice share.
+CHUNK, SHARED = 8192, 32_768
 _symbol = []
 
 
@@ -76,18 +81,63 @@ def profile(rows):
     return key // SYMBOLS**GRAM, key % SYMBOLS**GRAM, count, lettered
 
 
-def bundles(rows, letters):
-    """The text vectors of a few texts (float64, one row each), and which texts have a letter."""
-    doc, gram, count, lettered = profile(rows)
+def long_profile(text):
+    """``(gram, count)`` of one long text, from pieces of ``PIECE`` code points.
+
+    A piece starts with the last two symbols before it, so it counts each n-gram that ends in it.
+    """
+    points = text.decode("utf-8", "replace").lower() + " "
+    count, before = np.zeros(SYMBOLS**GRAM, dtype=np.int64), np.zeros(1, dtype=np.int64)
+    for at in range(0, len(points), PIECE):
+        data = np.frombuffer(points[at : at + PIECE].encode("utf-32-le", "replace"), dtype=np.uint32)
+        symbol = np.concatenate([before, symbols()[data].astype(np.int64)])
+        keep = np.ones(len(symbol), dtype=bool)
+        keep[1:] = (symbol[1:] != 0) | (symbol[:-1] != 0)
+        symbol = symbol[keep]
+        code = symbol[:-2] * SYMBOLS * SYMBOLS + symbol[1:-1] * SYMBOLS + symbol[2:]
+        count += np.bincount(code, minlength=SYMBOLS**GRAM)
+        before = symbol[-2:]
+    count[0] = 0
+    gram = np.flatnonzero(count)
+    return gram, count[gram]
+
+
+def slices(rows):
+    """``(first, last, doc, gram, count, lettered)`` of consecutive texts: the profile of a few, or of one long text."""
+    for a, b in batches(rows, SLICE):
+        short = [t if len(t) < SLICE else b"" for t in rows[a:b]]
+        doc, gram, count, lettered = profile(short)
+        if len(rows[b - 1]) >= SLICE:  # only the last text of a slice can be long
+            more, n = long_profile(rows[b - 1])
+            doc = np.append(doc, np.full(len(more), b - a - 1))
+            gram, count = np.append(gram, more), np.append(count, n)
+            lettered[-1] = len(more) > 0
+        yield a, b, doc, gram, count, lettered
+
+
+def bundle(gram, count, letters):
+    """The sum of the n-grams' vectors, each as often as it is counted; ``CHUNK`` vectors are held at once."""
+    out = np.zeros(letters.shape[1])
+    kind = np.float32 if count.sum() < 1 << 24 else np.float64  # sums of integers stay exact
+    for a in range(0, len(gram), CHUNK):
+        out += count[a : a + CHUNK].astype(kind) @ gram_vectors(gram[a : a + CHUNK], letters).astype(kind)
+    return out
+
+
+def bundles(doc, gram, count, n, letters):
+    """The vectors of n texts (float64, one row each), from their profiles, sorted by text."""
     grams, at = np.unique(gram, return_inverse=True)
-    bound = gram_vectors(grams, letters).astype(np.float32)
-    out = np.zeros((len(rows), letters.shape[1]))
-    first = np.searchsorted(doc, np.arange(len(rows) + 1))
-    for i in range(len(rows)):
-        for a in range(first[i], first[i + 1], 8192):
-            b = min(a + 8192, first[i + 1])
-            out[i] += count[a:b].astype(np.float32) @ bound[at[a:b]]
-    return out, lettered
+    out = np.zeros((n, letters.shape[1]))
+    first = np.searchsorted(doc, np.arange(n + 1))
+    # texts share vectors if these are few; else each text makes its own
+    bound = gram_vectors(grams, letters).astype(np.float32) if len(grams) <= SHARED else None
+    for i in range(n):
+        a, b = first[i], first[i + 1]
+        if bound is not None and b - a <= CHUNK:
+            out[i] = count[a:b].astype(np.float32) @ bound[at[a:b]]
+        else:
+            out[i] = bundle(gram[a:b], count[a:b], letters)
+    return out
 
 
 def prototypes(docs, width=WIDTH):
@@ -98,15 +148,13 @@ def prototypes(docs, width=WIDTH):
         total = {}
         for batch in parts:
             langs, rows = batch.column("lang").to_pylist(), texts(batch.column("text"))
-            for a, b in batches(rows, 2_000_000):
-                doc, gram, count, _ = profile(rows[a:b])
-                grams, at = np.unique(gram, return_inverse=True)
-                bound = gram_vectors(grams, letters).astype(np.float64)
+            for a, b, doc, gram, count, _ in slices(rows):
                 names = np.array(langs[a:b], dtype=object)
                 for name in set(names.tolist()):
                     mine = (names == name)[doc]
-                    seen = np.bincount(at[mine], weights=count[mine], minlength=len(grams))
-                    total[name] = total.get(name, 0) + seen @ bound
+                    grams, at = np.unique(gram[mine], return_inverse=True)
+                    seen = np.bincount(at, weights=count[mine], minlength=len(grams))
+                    total[name] = total.get(name, 0) + bundle(grams, seen, letters)
         if total:
             values = np.array(list(total.values()))
             flat = pa.array(np.rint(values).astype(np.int64).ravel())
@@ -142,8 +190,8 @@ def predict(docs, learned, width=WIDTH):
         for batch in parts:
             rows = texts(batch.column("text"))
             best, score = np.full(len(rows), -1), np.zeros(len(rows))
-            for a, b in batches(rows, 2_000_000) if names else ():
-                vectors, lettered = bundles(rows[a:b], letters)
+            for a, b, doc, gram, count, lettered in slices(rows) if names else ():
+                vectors = bundles(doc, gram, count, b - a, letters)
                 norm = np.linalg.norm(vectors, axis=1)
                 cosine = vectors @ matrix.T / np.where(norm, norm, 1)[:, None]
                 best[a:b] = np.where(lettered, cosine.argmax(axis=1), -1)

@@ -382,7 +382,8 @@ def test_langid(spark):
 def test_langid_bundle():
     letters = langid.letter_vectors(64)
     texts = ["ab c", "é", "", "Hello, World", "a1b"]
-    got, lettered = langid.bundles([t.encode() for t in texts], letters)
+    doc, gram, count, lettered = langid.profile([t.encode() for t in texts])
+    got = langid.bundles(doc, gram, count, len(texts), letters)
     assert lettered.tolist() == [True, True, False, True, True]
     for text, vector in zip(texts, got, strict=True):
         runs = [" ", *(c if c.isalpha() else " " for c in text.lower()), " "]
@@ -394,6 +395,51 @@ def test_langid_bundle():
         assert np.array_equal(vector, want)
 
 
+def test_langid_long_text(monkeypatch):
+    """A text in pieces has the n-grams and the vector that it has at once, in bounded memory."""
+    rng = np.random.default_rng(9)
+    wide = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 60_000)))
+    text = (wide + " 12  ab, c" * 500 + "  x").encode()
+    _, gram, count, _ = langid.profile([text])
+    letters = langid.letter_vectors(64)
+    want = langid.bundles(np.zeros(len(gram), int), gram, count, 1, letters)
+    for piece in (7, 1000, 59_999):
+        monkeypatch.setattr(langid, "PIECE", piece)
+        assert [x.tolist() for x in langid.long_profile(text)] == [gram.tolist(), count.tolist()]
+    monkeypatch.setattr(langid, "SLICE", 1000)
+    rows = [b"ab", text, b"", text, b"c d"]
+    found = [(b - a, *rest) for a, b, *rest in langid.slices(rows)]
+    vectors = np.concatenate([langid.bundles(doc, gram, count, n, letters) for n, doc, gram, count, _ in found])
+    assert np.array_equal(vectors[[1, 3]], want[[0, 0]]) and not vectors[2].any()
+    assert np.concatenate([f[-1] for f in found]).tolist() == [True, True, False, True, True]
+
+
+def test_site_strength(spark):
+    """Against the same moments in numpy: hosts far apart and paths alike inside them are shrunk hard to their host."""
+    rng = np.random.default_rng(4)
+    rows = [(f"h{h}", f"p{p}", float(rng.random() < 0.1 + 0.08 * h)) for h in range(10) for p in range(6) for _ in range(40)]
+    rows += [(None, f"p{p}", 0.5) for p in range(3)]
+    scored = spark.createDataFrame(rows, "host string, path string, quality double")
+    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"))
+    got = quality._strength(paths, "quality", F.col("host"))
+    by = collections.defaultdict(lambda: collections.defaultdict(list))
+    for host, path, value in rows:
+        by[host][path].append(value)
+    free = within = width = spread = 0
+    for sites in by.values():
+        size = np.array([len(v) for v in sites.values()])
+        mean = sum(map(sum, sites.values())) / size.sum()
+        free += len(size) - 1
+        within += (len(size) - 1) * mean * (1 - mean)
+        width += size.sum() - (size**2).sum() / size.sum()
+        spread += sum(n * (np.mean(v) - mean) ** 2 for n, v in zip(size, sites.values(), strict=True))
+    between = (spread - within) / width
+    want = min(max(within / free / between - 1, 1.0), 1e6) if between > 0 else 1e6
+    assert math.isclose(got, want, rel_tol=1e-6)
+    hosts = scored.groupBy("host").agg(F.count("*").alias("n"), F.sum("quality").alias("quality"))
+    assert got > 10 * quality._strength(hosts, "quality", F.lit(0))
+
+
 @needs_tables
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
