@@ -9,15 +9,16 @@ Outcomes are so normalised over all words.
 The neural part is log-bilinear: each of the ``CONTEXT`` words before adds its class's vector, weighted
 by place, to a predicted vector; an outcome's score is its product with the outcome's
 vector, plus a bias.  It is trained with noise-contrastive estimation against the corpus's
-class frequencies, in numpy, in the tasks that hold the data: every task starts from
-the same weights and passes over its share, and weights are averaged, for a few rounds.
+class frequencies, in numpy.  All windows of the training texts are dealt by hash into shards
+of about ``SHARD`` tokens, and every window is learned from once: the first shard alone, then the next
+three side by side, then twelve, and so on.  In a round every shard starts from the same weights, and the
+weights are averaged after it.  Shards and their order hang on the texts alone, not on files or tasks.
 Scoring multiplies a block of contexts with all outcomes at once and normalises exactly.
 
 What is counted and learned:
 
 * Word counts cover all training texts: one row for each different word of a task goes through a shuffle.
-* Training takes one in ``THINNING`` of the tokens of every training text, by a hash of place and text, so
-  it grows with the corpus.
+* Training takes every token of every training text once.
 * The counts of the ``FREQUENT`` most frequent words go to all tasks; every other token is looked
   up by a join with the counts, one row for each word of a text.
 
@@ -37,10 +38,14 @@ GROUPS = CLASSES - 1 - COMMON
 CONTEXT = 4
 DIMENSIONS = 24
 FREQUENT = 1 << 17
-THINNING = 16
-ROUNDS = 3
-NOISE = 64
-BLOCK = 16_384
+NOISE = 32
+#: Windows of a text that are stored in one row.
+PIECE = 16_384
+#: Windows that are shuffled in memory before they are learned from.
+BLOCK = 65_536
+#: Training tokens of a shard, of which there are at most MAX_SHARDS; beyond, shards grow.
+SHARD = 4_000_000
+MAX_SHARDS = 20_000
 _END = np.uint64(0x0123456789ABCDEF)
 _SEED = np.uint64(0xD6E8FEB86659FD93)
 
@@ -146,97 +151,167 @@ def unpack(flat):
     return out
 
 
-def train_pass(w, windows, frequency, rng, batch=512, rate=0.1):
-    """One pass of noise-contrastive estimation with Adagrad over windows (target first, then context), in place.
+def _add_rows(out, key, rows):
+    """out[key] += rows, for keys that repeat."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    out[key[first]] += np.add.reduceat(rows.take(order, axis=0), first, axis=0)
+
+
+def train_pass(w, windows, frequency, rng, batch=1024, rate=0.1, sums=None):
+    """The weights after one pass of noise-contrastive estimation with Adagrad over windows (target first, then context).
 
     A target and NOISE draws from the class frequencies, the same for a batch, are told apart by
-    their scores; the scores learn to be log-probabilities, normalised up to noise.
+    their scores; the scores learn to be log-probabilities, normalised up to noise.  sums: Adagrad's
+    sums of squares, updated in place, so that a later pass can go on.
     """
-    if not len(windows):
-        return w
-    log_noise = np.log(NOISE * frequency)
-    sums = {k: np.full(v.shape, 1.0) for k, v in w.items()}
+    w = {k: v.astype(np.float32) for k, v in w.items()}
+    sums = start_sums(w) if sums is None else sums
+    log_noise = np.log(NOISE * frequency).astype(np.float32)
     cut = np.cumsum(frequency)
-    for at in range(0, len(windows), batch):
-        part = windows[at : at + batch].astype(np.int64)
-        target, before = part[:, 0], part[:, 1:]
-        r = w["R"][before]
-        q = (r * w["C"]).sum(axis=1)
+    keys = np.ascontiguousarray(windows.T.astype(np.uint8))
+    places = keys.astype(np.intp)
+    for at in range(0, keys.shape[1], batch):
+        key, place = keys[:, at : at + batch], places[:, at : at + batch]
+        target = place[0]
+        table = w["R"][None, :, :] * w["C"][:, None, :]
+        q = table[0].take(place[1], axis=0)
+        for k in range(1, CONTEXT):
+            q += table[k].take(place[k + 1], axis=0)
         noise = np.minimum(np.searchsorted(cut, rng.random(NOISE) * cut[-1]), CLASSES - 1)
-        true = (q * w["Q"][target]).sum(axis=1) + w["b"][target] - log_noise[target]
-        false = q @ w["Q"][noise].T + w["b"][noise] - log_noise[noise]
+        bias = w["b"] - log_noise
+        q_true, q_noise = w["Q"].take(target, axis=0), w["Q"][noise]
+        true = np.einsum("ij,ij->i", q, q_true) + bias[target]
         up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
-        d_q = up[:, None] * w["Q"][target] + down @ w["Q"][noise]
-        pick_t = np.zeros((len(part), CLASSES))
-        pick_t[np.arange(len(part)), target] = up
-        np.add.at(pick_t.T, noise, down.T)
-        grads = {"Q": pick_t.T @ q, "b": pick_t.sum(axis=0), "C": (d_q[:, None, :] * r).sum(axis=0), "R": np.zeros_like(w["R"])}
+        down = q @ q_noise.T
+        down += bias[noise]
+        np.clip(down, -30, 30, out=down)
+        np.negative(down, out=down)
+        np.exp(down, out=down)
+        down += 1
+        np.divide(-1, down, out=down)
+        d_q = up[:, None] * q_true
+        d_q += down @ q_noise
+        grads = {k: np.zeros_like(v) for k, v in w.items()}
+        _add_rows(grads["Q"], key[0], up[:, None] * q)
+        np.add.at(grads["Q"], noise, down.T @ q)
+        grads["b"] += np.bincount(target, weights=up, minlength=CLASSES)
+        grads["b"] += np.bincount(noise, weights=down.sum(axis=0), minlength=CLASSES)
         for k in range(CONTEXT):
-            np.add.at(grads["R"], before[:, k], d_q * w["C"][k])
+            moved = np.zeros_like(w["R"])
+            _add_rows(moved, key[k + 1], d_q)
+            grads["R"] += moved * w["C"][k]
+            grads["C"][k] = (moved * w["R"]).sum(axis=0)
         for k in w:
             sums[k] += grads[k] ** 2
-            w[k] += rate * grads[k] / np.sqrt(sums[k])
+            w[k] += np.float32(rate) * grads[k] / np.sqrt(sums[k])
     return w
 
 
+def start_sums(w):
+    return {k: np.ones(v.shape, dtype=np.float32) for k, v in w.items()}
+
+
 def log_probabilities(w, target, before):
     """The natural log of each target class's probability, blocks of contexts at once, in float32."""
     table = (w["R"][None, :, :] * w["C"][:, None, :]).astype(np.float32)
     q_t, b = np.ascontiguousarray(w["Q"].T, dtype=np.float32), w["b"].astype(np.float32)
+    longest, highest = np.sqrt((q_t**2).sum(axis=0).max()), np.abs(b).max()
+    ones = np.ones(CLASSES, dtype=np.float32)
     out = np.empty(len(target))
-    for at in range(0, len(target), 4096):
-        now = before[at : at + 4096]
-        q = table[0][now[:, 0]]
+    for at in range(0, len(target), 512):
+        now = before[at : at + 512]
+        q = table[0].take(now[:, 0], axis=0)
         for k in range(1, CONTEXT):
-            q += table[k][now[:, k]]
+            q += table[k].take(now[:, k], axis=0)
         score = q @ q_t
         score += b
-        own = score[np.arange(len(now)), target[at : at + 4096]].astype(np.float64)
-        top = score.max(axis=1)
-        score -= top[:, None]
+        own = score[np.arange(len(now)), target[at : at + 512]].astype(np.float64)
+        if np.sqrt((q**2).sum(axis=1).max()) * longest + highest > 60:  # exp of a score could leave float32
+            top = score.max(axis=1)
+            score -= top[:, None]
+            own -= top
         np.exp(score, out=score)
-        out[at : at + 4096] = own - top - np.log(score.sum(axis=1, dtype=np.float64))
+        out[at : at + 512] = own - np.log(score @ ones)
     return out
 
 
-def learn(docs, counts, common, frequency, thinning=THINNING, rounds=ROUNDS):
-    """The weights, from docs (text) of the training part."""
-    classes = Classes(common)
-
-    def windows(parts):
-        for batch in parts:
-            rows = texts(batch.column("text"))
-            for a, b in batches(rows):
-                value, doc, group = tokens(rows[a:b])
-                own = classes(value, group)
-                first = np.searchsorted(doc, np.arange(b - a))
-                salt = np.add.reduceat(value, first)[doc] + (np.arange(len(doc)) - first[doc]).astype(np.uint64)
-                pick_ = np.flatnonzero(mix(salt ^ _SEED) % np.uint64(thinning) == 0)
-                table = np.concatenate([own[:, None], contexts(own, doc)], axis=1)[pick_].astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([table[i : i + BLOCK].tobytes() for i in range(0, len(table), BLOCK)], pa.binary())], ["windows"])
+def _windows(parts, classes):
+    """``(h, piece, windows)``: all windows of each text, in pieces of ``PIECE``; h is a hash of the text."""
+    for batch in parts:
+        rows = texts(batch.column("text"))
+        for a, b in batches(rows):
+            value, doc, group = tokens(rows[a:b])
+            own = classes(value, group)
+            first = np.searchsorted(doc, np.arange(b - a + 1))
+            turn = np.arange(len(doc)) - first[doc]
+            h = np.add.reduceat(mix(value ^ mix(turn.astype(np.uint64))), first[:-1])
+            table = np.concatenate([own[:, None], contexts(own, doc)], axis=1).astype(np.uint8)
+            cuts = np.flatnonzero(turn % PIECE == 0)
+            ends = np.append(cuts[1:], len(doc))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(h[doc[cuts]].view(np.int64)),
+                    pa.array((turn[cuts] // PIECE).astype(np.int32)),
+                    pa.array([table[i:j].tobytes() for i, j in zip(cuts, ends, strict=True)], pa.binary()),
+                ],
+                ["h", "piece", "windows"],
+            )
+
+
+def _trained(parts, flat, frequency, rate):
+    """``(at, value)``: for each shard the weights after a pass over its windows, times their number, and the number."""
+    shard, w, sums, rng, held, n, waiting = None, None, None, None, [], 0, 0
+
+    def step():
+        mine = np.frombuffer(b"".join(held), dtype=np.uint8).reshape(-1, 1 + CONTEXT)
+        return train_pass(w, mine[rng.permutation(len(mine))], frequency, rng, rate=rate, sums=sums)
+
+    def result():
+        values = np.append(pack(w) * float(n), n)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(len(values)).astype(np.int32)), pa.array(values)], ["at", "value"])
 
-    table = stored(docs.select("text").mapInArrow(windows, "windows binary"), "lm-windows")
+    for batch in parts:
+        for now, windows in zip(batch.column("shard").to_pylist(), batch.column("windows").to_pylist(), strict=True):
+            if now != shard:
+                if shard is not None:
+                    w = step() if held else w
+                    yield result()
+                shard, w, rng, held, n, waiting = now, unpack(flat), np.random.default_rng(now), [], 0, 0
+                sums = start_sums(w)
+            held.append(windows)
+            n += len(windows) // (1 + CONTEXT)
+            waiting += len(windows) // (1 + CONTEXT)
+            if waiting >= BLOCK:
+                w, held, waiting = step(), [], 0
+    if shard is not None:
+        w = step() if held else w
+        yield result()
+
+
+def learn(docs, common, frequency, total, shard_tokens=SHARD):
+    """The weights, from all ``total`` tokens of docs (text), the training part."""
+    classes = Classes(common)
+    n = max(1, min(-(-total // shard_tokens), MAX_SHARDS))
+    starts = [4**i for i in range(32) if 4**i < n]
+    rows = docs.select("text").mapInArrow(lambda parts: _windows(parts, classes), "h long, piece int, windows binary")
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("h", "piece"), F.lit(n)).cast("int"))
+    rows = rows.withColumn("round", sum(((F.col("shard") >= s).cast("int") for s in starts), F.lit(0)))
+    rows = rows.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "h", "piece")
+    table = stored(rows, "lm-windows")
     weights = start_weights(frequency)
-    for number in range(rounds):
+    for number in range(len(starts) + 1):
         flat, rate = pack(weights), 0.1 / (1 + number)
-
-        def run(parts, flat=flat, rate=rate, number=number):
-            got = [np.frombuffer(x, dtype=np.uint8) for batch in parts for x in batch.column("windows").to_pylist()]
-            mine = np.concatenate(got).reshape(-1, 1 + CONTEXT) if got else np.zeros((0, 1 + CONTEXT), np.uint8)
-            if len(mine):
-                rng = np.random.default_rng(number)
-                w = train_pass(unpack(flat), mine[rng.permutation(len(mine))], frequency, rng, rate=rate)
-                values = pack(w) * len(mine)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values) + 1).astype(np.int32)), pa.array(np.append(values, len(mine)))], ["at", "value"])
-
-        got = table.mapInArrow(run, "at int, value double").groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")["value"].to_numpy()
+        mine = table.where(F.col("round") == number).select("shard", "windows")
+        parts = mine.mapInArrow(lambda parts, flat=flat, rate=rate: _trained(parts, flat, frequency, rate), "at int, value double")
+        got = parts.groupBy("at").agg(F.sum("value").alias("value")).toPandas().sort_values("at")["value"].to_numpy()
         if len(got):
             weights = unpack(got[:-1] / got[-1])
     return weights
 
 
-def score(docs, modulus=5, remainder=1, thinning=THINNING, rounds=ROUNDS):
+def score(docs, modulus=5, remainder=1):
     """One row for each document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     docs: doc_id, text.  The model learns from documents whose crc32 of doc_id modulo 5 is not 1.
@@ -270,7 +345,7 @@ def score(docs, modulus=5, remainder=1, thinning=THINNING, rounds=ROUNDS):
         frequency[1 + i] = in_order[h] + 0.5
     frequency[1 + COMMON :] = groups
     frequency = frequency / frequency.sum()
-    weights = learn(training, counts, common, frequency, thinning, rounds)
+    weights = learn(training, common, frequency, total)
     flat = pack(weights)
 
     order = np.argsort(top.column("h").to_numpy().view(np.uint64))

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -494,3 +495,29 @@ def test_lm_learns():
     frequency[:4] = 0.25
     w = lm.train_pass(lm.start_weights(frequency), windows, frequency, rng)
     assert np.exp(lm.log_probabilities(w, target[:100], windows[:100, 1:])).mean() > 0.8
+
+
+def test_lm_windows_of_a_text():
+    """Every token of a text is a window with the classes before it; pieces cut a long text without a gap."""
+    words = [b"w%d" % (i * i % 97) for i in range(lm.PIECE + 100)]
+    classes = lm.Classes(np.zeros(0, np.int64))
+    rows = [b" ".join(words), b"", b"a b"]
+    batch = pa.RecordBatch.from_arrays([pa.array([r.decode() for r in rows])], ["text"])
+    got = pa.Table.from_batches(lm._windows([batch], classes)).to_pylist()
+    assert [r["piece"] for r in got] == [0, 1, 0, 0]
+    value, doc, group = lm.tokens(rows)
+    own = classes(value, group)
+    want = np.concatenate([own[:, None], lm.contexts(own, doc)], axis=1).astype(np.uint8)
+    assert b"".join(r["windows"] for r in got) == want.tobytes()
+
+
+@needs_tables
+def test_lm_any_layout(spark):
+    """The weights hang on the texts, not on how they lie in files and tasks; shards of several rounds."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text")
+    frequency = np.full(lm.CLASSES, 1 / lm.CLASSES)
+    total = docs.select(F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) + 1)).first()[0]
+    one = lm.learn(docs, [], frequency, total, total // 6)
+    two = lm.learn(docs.repartition(5), [], frequency, total, total // 6)
+    assert all(np.allclose(one[k], two[k], rtol=1e-9, atol=1e-12) for k in one)
+    assert not np.allclose(one["R"], lm.start_weights(frequency)["R"])
