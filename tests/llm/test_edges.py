@@ -37,7 +37,7 @@ def operators(labels, benchmark):
     return {
         "pii": pii.personal_data,
         "passages": passages.repeated,
-        "lm": lambda d: lm.score(d, rounds=1),
+        "lm": lambda d: lm.score(d),
         "minhash": minhash.compare_edited,
         "near_duplicates": minhash.near_duplicates,
         "fingerprinted": minhash.fingerprinted,
@@ -82,7 +82,7 @@ def test_defined_results(tables):
     assert near[6] == (5, 0) and near[2] == near[1] == near[3]
     sames = [r for r in minhash.compare_edited(docs).collect() if r.doc_id in (1, 2, 3)]
     assert len({r.fingerprint for r in sames}) == 1
-    tokens = {r.doc_id: r.n_tokens for r in lm.score(docs, rounds=1).collect()}
+    tokens = {r.doc_id: r.n_tokens for r in lm.score(docs).collect()}
     assert tokens[1] == tokens[2] == tokens[3] == 1 and tokens[4] == 30_001
 
 
@@ -93,7 +93,7 @@ def test_no_training_data(tables):
     assert decontaminate.contaminated(docs, benchmark.where("item_id = -1")).count() == 0
     assert {r.lang_pred for r in langid.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
     held = docs.where("doc_id IN (3, 5)").withColumn("doc_id", F.lit(3))  # crc32("3") % 5 is 1
-    got = lm.score(held, rounds=1).collect()
+    got = lm.score(held).collect()
     assert {(r.held_out, r.train_tokens, r.n_known) for r in got} == {(True, 0, 0)}
 
 
