@@ -268,6 +268,30 @@ def test_near_duplicates(spark):
     assert {r.doc_id: r.class_id for r in got} == {i: want.find(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_have_all_their_links(spark):
+    """Versions of one text, many of them linked to each other, over several blocks; repeated rows change nothing."""
+    rng = random.Random(18)
+    words, texts = made_up(rng, 150), []
+    for _ in range(60):
+        again = list(words)
+        for at in rng.sample(range(150), rng.randint(0, 4)):
+            again[at] = f"w{rng.randint(0, 10**6)}"
+        texts.append(" ".join(again))
+    sets = [frozenset(sets_of(t)) for t in texts]
+    different = set(sets)
+    want = {i: sum(jaccard(a, b) >= 0.8 for b in different - {a}) for i, a in enumerate(sets)}
+    assert 10 < sum(want.values()) / len(want) < 58  # most have many, some none
+    rows = [*enumerate(texts), *enumerate(texts[:5]), (None, texts[7])]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: r.links for r in got if r.doc_id is not None} == want and len(got) == len(rows)
+    before, minhash.BLOCK = minhash.BLOCK, 16
+    try:
+        got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    finally:
+        minhash.BLOCK = before
+    assert {r.doc_id: r.links for r in got if r.doc_id is not None} == want and len(got) == len(rows)
+
+
 def test_near_duplicates_of_a_table(spark):
     """All pairs of a driver table, and the classes they make, against the registered query."""
     sf = "/root/testdata/sf0.01"
