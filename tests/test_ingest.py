@@ -1,10 +1,12 @@
 import gzip
 import json
 import os
+import uuid
 
 import numpy as np
 import pytest
 from conftest import rows_of
+from pyspark.sql import functions as F
 
 from rankloom import session
 from rankloom.operators import upsert
@@ -160,6 +162,27 @@ def test_scratch_folder_without_the_setting(spark, monkeypatch):
     assert os.path.dirname(first) == os.path.dirname(second) and first != second
 
 
+def test_publish_makes_costly_rows_once(spark, tmp_path):
+    """Rows of a Python stage are not made again to find their buckets or the stored rows that they replace."""
+    made = tmp_path / "made"
+    made.mkdir()
+
+    def rows(first, last, body):
+        def run(parts):
+            (made / uuid.uuid4().hex).touch()
+            yield from parts
+
+        base = spark.range(first, last, 1, 1).select(F.concat(F.lit("k"), "id").alias("id"), F.lit(body).alias("body"))
+        return base.mapInArrow(run, "id string, body string"), ["id"], base.select("id")
+
+    root = str(tmp_path / "tables")
+    views.publish(spark, root, 0, {"t": rows(0, 40, "old")}, buckets=4)
+    views.publish(spark, root, 1, {"t": rows(30, 50, "new")}, buckets=4)
+    assert len(list(made.iterdir())) == 2
+    got = rows_of(views.current(spark, root, "t", "id string, body string"))
+    assert got == sorted([(f"k{i}", "old" if i < 30 else "new") for i in range(50)])
+
+
 def test_stream_restarts_where_it_stopped(spark, tmp_path):
     folder, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
     write_files(folder)
