@@ -9,6 +9,7 @@ from conftest import rows_of
 from pyspark.sql import functions as F
 
 from rankloom import session
+from rankloom.catalog import queries
 from rankloom.operators import upsert
 from rankloom.operators.encode import HashEncoder, encode_dense, encode_tokens
 from rankloom.plans import dense, ingest
@@ -83,6 +84,46 @@ def test_written_documents_keep_everything(spark, tmp_path):
     assert rows_of(encoded.select("chunk_id", "embedding_id")) == rows_of(tokens.select("chunk_id", "embedding_id"))
 
 
+def test_written_vectors_are_read_back_as_they_were(spark, tmp_path):
+    write_files(tmp_path / "in")
+    good = documents.good_documents(documents.read_documents(spark, str(tmp_path / "in")))
+    out = str(tmp_path / "out")
+    documents.write_encoded(good, out, HashEncoder)
+    (line,) = [r.value for r in spark.read.text(out).collect() if '"many"' in r.value]
+    vectors = {k: v[PART_TOKENS] for k, v in json.loads(line).items() if k != "title"}
+    want = {k: HashEncoder().encode_passages([v["content"]])[0] for k, v in MANY.items() if k != "title"}
+    assert {k: np.float32(v).tolist() for k, v in vectors.items()} == {k: v.tolist() for k, v in want.items()}
+    assert max(map(len, line.split(","))) < 60  # no digits beyond float32
+    parts = documents.document_parts(documents.good_documents(documents.read_documents(spark, out, "lines")))
+    read = {r.part: r.token_embeddings for r in parts.filter("title = 'many'").collect()}
+    assert read == {int(k): v.tolist() for k, v in want.items()}
+    odd = np.float32([[np.nan, 1], [1e-30, -0.0]])
+    assert np.float32(json.loads(documents._json_rows(odd[1:]))).tolist() == odd[1:].tolist() and "NaN" in documents._json_rows(odd)
+    assert json.loads(documents._json_rows(odd[:0])) == []
+
+
+def test_bad_parts_are_looked_for_once(spark, tmp_path):
+    write_files(tmp_path / "in")
+    good = documents.good_documents(documents.read_documents(spark, str(tmp_path / "in")))
+    plan = documents.document_parts(good)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schema_of_variant") <= 4  # two for each kind of vector
+
+
+def test_a_large_source_is_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(0, 4000, 1, 8).select(
+        F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.sha2(F.col("id").cast("string"), 512).alias("text")
+    )
+    rows.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "50KB")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50KB")
+    try:
+        path = queries._written_by_source(spark, str(tmp_path))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert documents.list_files(spark, path).count() > 2 and spark.read.text(path).count() == 4000
+
+
 def test_files_are_loaded_once(spark, tmp_path):
     folder = tmp_path / "gz"
     folder.mkdir()
