@@ -150,15 +150,16 @@ def candidates(rows):
 def _occurrences(rows, contexts):
     """``(pattern, total)``: how often each of the contexts stands before any token, in all of rows.
 
-    The contexts meet the tokens where the texts are read, so only counts are shuffled.
+    The pairs of words are counted before the contexts meet them: the join makes one row for each context, and what is
+    shuffled are a task's different pairs, however many occurrences the contexts have.
     """
     words = rows.select(F.split(_even(_flat(F.col("text"))), " ").alias("w")).where(F.size("w") > 1)
     first = F.array(F.xxhash64(F.slice("w", 1, 1)))
     later = F.transform(F.sequence(F.lit(1), F.size("w") - 2), lambda i: F.xxhash64(F.slice("w", i, F.lit(2))))
     follow = F.when(F.size("w") > 2, F.concat(first, later)).otherwise(first)
-    seen = words.select(F.explode(follow).alias("pattern"))
+    seen = words.select(F.explode(follow).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("total"))
     contexts = broadcast_if(contexts, contexts.count(), MAX_CONTEXTS)
-    return seen.join(contexts, "pattern").groupBy("pattern").agg(F.count("*").alias("total"))
+    return seen.join(contexts, "pattern")
 
 
 def graph(rows, found, seeds=SEEDS):

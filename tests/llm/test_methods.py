@@ -146,6 +146,19 @@ def test_pii_discovers(spark):
     assert kind == "phone" and rows[30][int(start) : int(end)] == "555-0199-x22"
 
 
+def test_pii_occurrences(spark):
+    """Word pairs are counted before they meet the contexts: the join makes a row for each context, not for each occurrence."""
+    texts = ["call me at 5", "you can call me at +1 (555) 123-4567 or call me at 7", "at", "", "call me"] * 7
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    words = {name: F.xxhash64(F.array(*map(F.lit, name.split()))) for name in ("call me", "me at", "call", "at", "not there")}
+    named = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(n).alias("name"), h.alias("pattern")) for n, h in words.items()))).alias("c")).select("c.*")
+    found = pii._occurrences(rows, named.select("pattern"))
+    got = {r.name: r.total for r in found.join(named, "pattern").collect()}
+    assert got == {"call me": 21, "me at": 21, "call": 14}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate") < plan.index("Generate explode")
+
+
 def test_pii_unknown_identifiers(spark):
     """Numbers that fail the card check are found after words that cards follow, at the right place, and no others."""
     rng = random.Random(31)
