@@ -214,6 +214,55 @@ def test_passages(spark):
             assert r.end - r.start >= 70
 
 
+def test_passages_have_all_their_links(spark):
+    """Any two of the texts that share a passage have a row, not just each with the first and the one before it."""
+    rng = random.Random(14)
+    shared = made_up(rng, 70)
+    rows = [made_up(rng, 150) for _ in range(14)]
+    for i in range(2, 14):
+        rows[i][5 * i : 5 * i] = shared
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], DOCS)
+    got = passages.repeated(docs).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in got} == {frozenset((i, j)) for i in range(2, 14) for j in range(2, i)}
+    assert {r.class_id for r in got} == {2}
+
+
+def test_passages_of_a_large_group(spark):
+    """Pairs that share a passage are found among many texts that share a stretch of it that is too short."""
+    rng = random.Random(15)
+    core = made_up(rng, 48)
+    rows, pairs = [made_up(rng, 160) for _ in range(60)], {frozenset((i, i + 30)) for i in range(0, 30, 2)}
+    for i in range(30):
+        longer = core + made_up(rng, 4)
+        for j in (i, i + 30):
+            rows[j][80:80] = longer if i % 2 == 0 else core
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], DOCS)
+    got = passages.repeated(docs).collect()
+    assert {frozenset((r.doc_id, r.other_id)) for r in got} == pairs
+    assert all(r.class_id == min(r.doc_id, r.other_id) and r.similarity >= 0.8 for r in got)
+
+
+def test_connecting():
+    """Windows with a common run are connected, directly or over others, and no others are."""
+    rng = np.random.default_rng(16)
+    pieces = rng.integers(-(2**31), 2**31, (6, 12)).astype(np.int32)
+    lists = []
+    for _ in range(80):
+        middle = pieces[rng.integers(0, 6)][rng.integers(0, 6) :][: rng.integers(3, 13)]
+        lists.append(np.concatenate([rng.integers(0, 99, rng.integers(8, 14)), middle, rng.integers(0, 99, rng.integers(0, 5))]).astype(np.int32))
+    runs = [{x[i : i + 8].tobytes() for i in range(len(x) - 7)} for x in lists]
+    want, got = Sets(), Sets()
+    for i in range(80):
+        for j in range(i):
+            if runs[i] & runs[j]:
+                want.join(i, j)
+    found = passages.connecting(np.concatenate(lists), np.array([len(x) for x in lists]), 8)
+    assert found and all(runs[i] & runs[j] and j < i for i, j in found)
+    for i, j in found:
+        got.join(i, j)
+    assert [want.find(i) for i in range(80)] == [got.find(i) for i in range(80)]
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 40, 200).astype(np.uint64)
