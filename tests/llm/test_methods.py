@@ -263,6 +263,79 @@ def test_connecting():
     assert [want.find(i) for i in range(80)] == [got.find(i) for i in range(80)]
 
 
+def test_align_sorts_each_side_once(monkeypatch):
+    """The passages are those of plain set operations; numpy's set functions, which sort for every question, are not called."""
+    rng = np.random.default_rng(17)
+    pairs, want = [], []
+    for _ in range(300):
+        x = rng.integers(-(2**31), 2**31, rng.integers(30, 140)).astype(np.int32)
+        y = np.concatenate([x[:0], *(rng.integers(0, 9, rng.integers(0, 12)).astype(np.int32) for _ in range(2)), x[rng.integers(0, 20) :]])
+        y[rng.integers(0, len(y), rng.integers(0, 8))] = 5
+        pairs.append((x, y))
+
+    def stretch(hit, density):
+        gains = np.cumsum([0.0, *np.where(hit, 1 - density, -density)])
+        last = int(np.argmax(gains[1:] - np.minimum.accumulate(gains[:-1])))
+        return int(np.argmin(gains[: last + 1])), last
+
+    def plain(x, y, start, stop, number):
+        tries = (0.7, 2 * 0.8 / 1.8, 0.99)
+        hit = np.array([v in set(y.tolist()) for v in x[start:stop].tolist()], dtype=bool)
+        if hit.sum() < 20 * tries[number]:
+            return []
+        a, b = stretch(hit, tries[number])
+        a, b = start + a, start + b + 1
+        out = plain(x, y, start, a, number) + plain(x, y, b, stop, number)
+        if b - a < 20:
+            return out
+        part = set(x[a:b].tolist())
+        c, d = stretch(np.array([v in part for v in y.tolist()], dtype=bool), tries[number])
+        likeness = jaccard(part, set(y[c : d + 1].tolist()))
+        if d + 1 - c >= 20 and likeness >= 0.8:
+            return [*out, (a, b, c, d + 1, likeness)]
+        return out + (plain(x, y, a, b, number + 1) if number < 2 else [])
+
+    want = [sorted(plain(x, y, 0, len(x), 0)) for x, y in pairs]
+    for name in ("isin", "unique", "intersect1d"):
+        monkeypatch.setattr(np, name, None)
+    assert [sorted(passages.align(x, y, 20, 0.8)) for x, y in pairs] == want
+    assert sum(map(bool, want)) > 100 and not all(want)
+
+
+def test_windows_merge_as_a_full_sort_does():
+    """Overlapping windows of one text and hash are one, whatever the order of the rows."""
+    rng = np.random.default_rng(18)
+    h, node, a = (rng.integers(0, k, 2000) for k in (900, 3, 60))
+    b = a + rng.integers(5, 15, 2000)
+    want = []
+    for row in sorted(zip(h.tolist(), node.tolist(), a.tolist(), b.tolist(), strict=True)):
+        if want and want[-1][:2] == row[:2] and row[2] <= last:
+            want[-1] = (*want[-1][:3], max(want[-1][3], row[3]))
+        else:
+            want.append(row)
+        last = row[3]
+    assert list(zip(*(c.tolist() for c in passages._merged(h, node, a, b)), strict=True)) == want
+
+
+def test_passages_plan(spark):
+    """The windows are sorted by their hash alone, and copies go before the lists are made: no exchange of lists."""
+    plans, docs = [], spark.createDataFrame([(i, " ".join(made_up(random.Random(i % 3), 90))) for i in range(6)], DOCS)
+    kept = passages.stored
+
+    def seen(df, name):
+        plans.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return kept(df, name)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(passages, "stored", seen)
+        got = passages.repeated(docs).collect()
+    plans = dict(plans)
+    assert len(got) == 3 and all(r.doc_id == r.other_id + 3 for r in got)
+    sorts = re.findall(r"Sort \[(.*?)\], false", plans["passage-met"])
+    assert len(sorts) == 1 and sorts[0].count("ASC") == 1
+    assert plans["passage-lists"].index("MapInArrow") < plans["passage-lists"].index("Aggregate")
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 40, 200).astype(np.uint64)
