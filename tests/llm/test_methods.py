@@ -6,6 +6,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -336,6 +337,46 @@ def test_passages_plan(spark):
     assert plans["passage-lists"].index("MapInArrow") < plans["passage-lists"].index("Aggregate")
 
 
+def test_passages_keep_little_on_disk(spark):
+    """Lists hold what the candidates ask for, not whole texts, and no step leaves its shuffle files behind."""
+    rng = random.Random(19)
+    few, many = made_up(rng, 70), made_up(rng, 60)
+    rows = [made_up(rng, 2000) for _ in range(40)]
+    for i, words in enumerate(rows):
+        words[900 + i : 900 + i] = many
+    for i in (3, 8):
+        rows[i][1300 + i : 1300 + i] = few
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], DOCS)
+    made, kept = {}, passages.stored
+
+    def seen(df, name):
+        return made.setdefault(name, kept(df, name))
+
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if "/shuffle_" in f}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = shuffles(), spark.conf.get(name)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(passages, "stored", seen)
+        out = passages.repeated(docs)
+        assert spark.conf.get(name) == setting
+        for _ in range(50):  # the files go in the background
+            if not shuffles() - before:
+                break
+            time.sleep(0.2)
+        assert not shuffles() - before
+    sizes = {r.n for r in made["passage-lists"].selectExpr("size(list) n").collect()}
+    assert len(sizes) > 1 and max(sizes) < 800
+    got = out.collect()
+    assert {x for r in got for x in (r.doc_id, r.other_id)} == set(range(40)) and {r.class_id for r in got} == {0}
+    for r in got:
+        assert rows[r.doc_id][r.start : r.end] == rows[r.other_id][r.other_start : r.other_end]
+    (r,) = (r for r in got if {r.doc_id, r.other_id} == {3, 8} and r.start > 1200)
+    assert {(r.doc_id, r.start, r.end), (r.other_id, r.other_start, r.other_end)} == {(i, 1300 + i, 1370 + i) for i in (3, 8)}
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     values = rng.integers(0, 40, 200).astype(np.uint64)
