@@ -243,6 +243,50 @@ def test_passages_of_a_large_group(spark):
     assert all(r.class_id == min(r.doc_id, r.other_id) and r.similarity >= 0.8 for r in got)
 
 
+def test_changed_passages_of_a_large_group(spark):
+    """Pairs that are alike with a change inside every 50 words are found among many texts with the same smallest shingles."""
+    rng = random.Random(21)
+    core, rows, n = made_up(rng, 60), [made_up(rng, 90) for _ in range(160)], 80
+    for i in range(n):
+        own = list(core)
+        for at in (20 + i % 6, 34 + i % 7):
+            own[at] = f"own{i}"
+        rows[i][40:40] = own
+        rows[i + n][40:40] = [*own[:30], f"other{i}", *own[31:]]
+    docs = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], DOCS)
+    got = passages.repeated(docs).collect()
+    alike, split_rows = Sets(), [{tuple(r[40:100][i : i + 5]) for i in range(56)} for r in rows]
+    for i in range(2 * n):
+        for j in range(i):
+            if jaccard(split_rows[i], split_rows[j]) >= 0.8:
+                alike.join(i, j)
+    assert all(alike.find(i) == alike.find(i + n) for i in range(n)) and len({alike.find(i) for i in range(n)}) == n
+    assert {x: r.class_id for r in got for x in (r.doc_id, r.other_id)} == {i: alike.find(i) for i in range(2 * n)}
+
+
+def test_alike_windows_are_connected():
+    """The classes of a group are those of ``align`` asked for all pairs, with shingles that come twice and without."""
+    rng = np.random.default_rng(22)
+    for number in range(40):
+        base, lists = rng.integers(0, 2**31, rng.integers(50, 92)).astype(np.int32), []
+        for k in range(14):
+            x = base.copy()
+            x[rng.integers(0, len(x), rng.integers(0, 14))] = rng.integers(0, 2**31)
+            edge = rng.integers(0, 2**31, rng.integers(0, 20)).astype(np.int32)
+            x = np.concatenate([edge, x[rng.integers(0, 8) :]])
+            lists.append(np.concatenate([x, x[:30]]) if number % 4 == 0 and k % 3 == 0 else x)
+        flat, size = np.concatenate(lists), np.array([len(x) for x in lists])
+        known = passages.connecting(flat, size, 46)
+        want, got = Sets(), Sets()
+        for i in range(14):
+            for j in range(i):
+                if (j, i) in known or (i, j) in known or passages.align(lists[i], lists[j], 46, 0.8):
+                    want.join(i, j)
+        for i, j in known + passages.alike(flat, size, 46, 0.8, known):
+            got.join(i, j)
+        assert [want.find(i) for i in range(14)] == [got.find(i) for i in range(14)]
+
+
 def test_connecting():
     """Windows with a common run are connected, directly or over others, and no others are."""
     rng = np.random.default_rng(16)
