@@ -4,6 +4,7 @@ import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -109,6 +110,56 @@ def test_bad_parts_are_looked_for_once(spark, tmp_path):
     assert plan.count("schema_of_variant") <= 4  # two for each kind of vector
 
 
+def test_vectors_are_parsed_in_batches(spark):
+    """Matrices are read as arrays and never as Spark variants; what a strict reader does not take is left to Spark's, with the same result."""
+    name, quoted = f'"{PART_TOKENS}"', json.dumps(f'say "{PART_TOKENS}": [[1,2]]')
+
+    def doc(part, more=""):
+        return '{"title": "t", "0": {"content": "a"}, "1": {"content": "b", ' + part + "}" + more + "}"
+
+    strict = [
+        (doc(f"{name}: [[1e-10,-20e-1],[0.5,3]]"), None, [[1e-10, -2.0], [0.5, 3.0]]),
+        (doc(f"{name}:[[1.5, 2], [0.5, 3]]"), None, [[1.5, 2.0], [0.5, 3.0]]),
+        (doc(f'"note": {quoted}, {name}: [[1]]'), None, [[1.0]]),
+        (doc(f"{name}: []"), None, []),
+        (doc(f"{name}: null"), None, None),
+        (doc(f"{name}: [[1],[2,3]]"), f"part 1 has a ragged {PART_TOKENS}", None),
+        (doc(f"{name}: [1]"), f"part 1 has a malformed {PART_TOKENS}", None),
+        (doc(f'{name}: [[7]]', f', "3": {{{name}: [[5]]}}'), None, [[7.0]]),
+    ]
+    left = [
+        (doc(f"{name}: [[01]]"), "not a JSON object", None),
+        (doc(f"{name}: [[1,null]]"), f"part 1 has a malformed {PART_TOKENS}", None),
+        (doc(f'{name}: [["1"]]'), f"part 1 has a malformed {PART_TOKENS}", None),
+        (doc(f"{name}: [[2]]").replace('"title"', "'title'"), None, [[2.0]]),
+        (doc(f"{name}: [[2]]", ', "1": {"content": "last"}'), None, None),
+        ("[1]", "not a JSON object", None),
+        (None, "not a JSON object", None),
+    ]
+    rows = [(str(i), value) for i, (value, *_) in enumerate(strict + left)]
+    lines = spark.createDataFrame(rows, "path string, value string").coalesce(1)
+    read = {r.path: r for r in documents.parse_documents(lines).collect()}
+    for i, (value, reason, tokens) in enumerate(strict + left):
+        got = read[str(i)]
+        assert got.reason == reason, value
+        assert reason or got.parts[1].token_embeddings == (None if tokens is None else np.float32(tokens).tolist()), value
+    batch = pa.RecordBatch.from_pydict({"path": [r[0] for r in rows], "value": pa.array([r[1] for r in rows], pa.string())})
+    (out,) = documents._parsed((), [batch])
+    assert [v.is_valid for v in out.column(2)] == [True] * len(strict) + [False] * len(left)
+    kept = json.loads(out.column(2)[7].as_py())
+    assert kept["3"][PART_TOKENS] == [[5]] and type(kept["1"][PART_TOKENS]) is str
+
+
+def test_numbers_are_written_short_and_exactly():
+    rng = np.random.default_rng(6)
+    unit = (rng.integers(0, 256, (500, 16)) - 127.5).astype(np.float64)
+    unit = (unit / np.linalg.norm(unit, axis=1, keepdims=True)).astype(np.float32)
+    text = documents._json_rows(unit)
+    assert np.float32(json.loads(text)).tobytes() == unit.tobytes() and "." not in text
+    for odd in (unit * 1e-12, unit * 1e8, np.float32([[-0.0, 1]])):
+        assert np.float32(json.loads(documents._json_rows(odd))).tobytes() == odd.astype(np.float32).tobytes()
+
+
 def test_a_large_source_is_written_by_several_tasks(spark, tmp_path):
     rows = spark.range(0, 4000, 1, 8).select(
         F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.sha2(F.col("id").cast("string"), 512).alias("text")
