@@ -1,10 +1,12 @@
 import gzip
 import json
 import os
+import time
 import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from conftest import rows_of
 from pyspark.sql import functions as F
@@ -275,6 +277,25 @@ def test_publish_makes_costly_rows_once(spark, tmp_path):
     assert got == sorted([(f"k{i}", "old" if i < 30 else "new") for i in range(50)])
 
 
+def test_publish_keeps_little_on_disk(spark, tmp_path):
+    """One exchange of rows for a table, whose files go with the step, and packed files."""
+    def shuffles():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")
+        return {f for f in found.split("\n") if "/shuffle_" in f and f.endswith(".data")}
+
+    rows = spark.range(0, 4000, 1, 4).select(F.concat(F.lit("k"), "id").alias("id"), F.sha2(F.col("id").cast("string"), 512).alias("body"))
+    before = shuffles()
+    views.publish(spark, str(tmp_path), 0, {"t": (rows, ["id"])}, buckets=4)
+    for _ in range(50):  # the files go in the background
+        if not shuffles() - before:
+            break
+        time.sleep(0.2)
+    assert not {f for f in shuffles() - before if os.path.getsize(f) > 50_000}
+    files = [os.path.join(d, f) for d, _, names in os.walk(tmp_path / "t") for f in names if f.endswith(".parquet")]
+    assert {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files} == {"ZSTD"} and len(files) == 4
+    assert views.current(spark, str(tmp_path), "t", "id string, body string").count() == 4000
+
+
 def test_stream_restarts_where_it_stopped(spark, tmp_path):
     folder, out, marks = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "marks")
     write_files(folder)
